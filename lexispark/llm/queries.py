@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding, simhash, urls
+from . import lines, mixing, quality, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(toxicity.remainder() != 0))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
@@ -44,6 +50,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {

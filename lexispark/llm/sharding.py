@@ -71,7 +71,7 @@ def propagate(tables: Tables, members: DataFrame, shards: int, room: float, roun
             if r["shard"] != r["wish"]:
                 asked[r["shard"], r["wish"]] += r["count"]
         share = quotas(asked, load, np.full(shards, room))
-        granted = F.lit(share.ravel()).getItem((F.col("shard") * shards + F.col("wish")).cast("int"))
+        granted = F.lit(share.ravel())[(F.col("shard") * shards + F.col("wish")).cast("int")]
         move = below(F.concat_ws(":", F.lit(k), "hub"), 1_000_000) < granted * 1_000_000
         labels = tables.keep(wishes.select("node", F.when(move, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
         if not asked.any():
@@ -119,8 +119,8 @@ def shard(docs: DataFrame, key: Column, shards: int = 40, id_col: str = "doc_id"
     ends = np.cumsum(free)
     over = positions(rows.filter(F.col("at") >= capacity).drop("at").withColumn("b", F.col("shard") * 2 * buckets + F.col("bucket")), [], "b", ["part", "id", "text_crc32"])
     target = F.aggregate(F.lit(ends.astype(np.int64)), F.lit(0), lambda n, e: n + (e <= F.col("at")).cast("int"))
-    begin = F.lit((ends - free).astype(np.int64)).getItem(F.col("to"))
-    held = F.lit(np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64) - free).getItem(F.col("to"))
+    begin = F.lit((ends - free).astype(np.int64))[F.col("to")]
+    held = F.lit(np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64) - free)[F.col("to")]
     moved = over.withColumn("to", target).select("id", "size", "text_crc32", F.col("to").alias("shard"), (held + F.col("at") - begin).alias("slot"))
     return stay.union(moved).select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
