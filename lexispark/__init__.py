@@ -1,3 +1,10 @@
 """Dictionary mentions, annotation and corpus preparation on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
