@@ -45,30 +45,28 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if path is not None and path.toString().find(self.root.rpartition("/")[2]) >= 0:
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, comp) for each node that has an edge,
     comp being the smallest node of its component.
 
-    Every round takes the smallest label among the neighbours and then follows the label's own label, so
-    long chains shrink by doubling. Each round is written out; it ends when no label changed. Only the
-    number of changed rows reaches the driver.
+    Every round hooks each node to its smallest neighbour, if that is smaller, follows the hooks once more, and
+    contracts the edges to what they were hooked to; edges within one node go. Contracted, the edges shrink
+    fast, and long chains by doubling. Each round is written out; it ends when no edge is left. Only the
+    answer to whether an edge is left reaches the driver.
     """
-    both = tables.keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = tables.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = tables.keep(lower.join(jump, "comp").select("node", "was", F.least("comp", "next").alias("comp")))
-        changed = after.filter("was <> comp").limit(1).count()
-        tables.drop(labels)
-        labels = after.select("node", "comp")
-        if not changed:
-            return labels
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = tables.keep(edges.select(*pair).filter("a <> b").distinct())
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+    labels = tables.keep(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    while edges.limit(1).count():
+        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+        hooks = tables.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        next_ = hooks.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        roots = tables.keep(hooks.join(next_, "to").select("node", F.col("then").alias("root")))
+        at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        contracted = edges.join(at("a"), "a").join(at("b"), "b").filter("root_a <> root_b")
+        edges = tables.keep(contracted.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        moved = labels.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left")
+        labels = tables.keep(moved.select("node", F.coalesce("root", "comp").alias("comp")))
+    return labels

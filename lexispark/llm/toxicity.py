@@ -225,11 +225,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as texts without words. Repeated rows are scored each; an empty table
     gives no rows; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+        return pd.Series(model.scores(texts.tolist()))
 
     return docs.select(F.col(id_col), scored(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
