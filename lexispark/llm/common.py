@@ -50,10 +50,10 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, comp) for each node that has an edge,
     comp being the smallest node of its component.
 
-    Every round hooks each node to its smallest neighbour, if that is smaller, follows the hooks once more, and
-    contracts the edges to what they were hooked to; edges within one node go. Contracted, the edges shrink
-    fast, and long chains by doubling. Each round is written out; it ends when no edge is left. Only the
-    answer to whether an edge is left reaches the driver.
+    Every round hooks each node to its smallest neighbour, if that is smaller, follows the hooks to
+    their ends by doubling, and contracts the edges to these; edges within one node go. A round leaves half of
+    the nodes with edges at most. Each round is written out; it ends when no edge is left. Only the
+    answers to whether an edge is left or a hook moved reach the driver.
     """
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = tables.keep(edges.select(*pair).filter("a <> b").distinct())
@@ -62,8 +62,12 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     while edges.limit(1).count():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         hooks = tables.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")))
-        next_ = hooks.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        roots = tables.keep(hooks.join(next_, "to").select("node", F.col("then").alias("root")))
+        while True:
+            next_ = hooks.select(F.col("node").alias("to"), F.col("to").alias("then"))
+            hooks = tables.keep(hooks.join(next_, "to").select("node", F.col("to").alias("was"), F.col("then").alias("to")))
+            if not hooks.filter("was <> to").limit(1).count():
+                break
+        roots = hooks.select("node", F.col("to").alias("root"))
         at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         contracted = edges.join(at("a"), "a").join(at("b"), "b").filter("root_a <> root_b")
         edges = tables.keep(contracted.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
