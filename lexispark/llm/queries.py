@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding, simhash, toxicity, urls
+from . import ann, lines, mixing, quality, sentencepiece, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -32,6 +32,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+#: A public model of the BPE type with byte fallback; the path is a parameter.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
+    model = sentencepiece.read_model(spark, path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece.decode(sentencepiece.encode(docs, model), model, text="decoded")
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.MARK), F.lit(" "))
+    return both.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), same.alias("round_trip"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(toxicity.remainder() != 0))
@@ -50,6 +66,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
 }
