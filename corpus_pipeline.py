@@ -1,9 +1,61 @@
-"""The corpus pipeline: stages applied in turn to the table documents."""
+"""The corpus pipeline over the table documents: quality rules, line dedup, SimHash near-dedup, mixing to target
+weights, SentencePiece encoding. Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next stage's docs."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.llm import lines, mixing, quality, sentencepiece, simhash
+from lexispark.llm.common import Tables, filter_after
+from lexispark.llm.queries import MODEL
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return filter_after(quality.judge(docs), F.col("kept")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of 50 words or more that stand earlier; documents of which nothing is left go. n_chars
+    follows the text."""
+    out = filter_after(lines.dedup(docs), ~((F.col("cut_lines") > 0) & (F.trim("text") == "")))
+    return out.select(*[(F.length("text").cast("bigint") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.emit(docs)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_ids, ids) of each document of the mix."""
+    encoded = sentencepiece.encode(docs, sentencepiece.read_model(spark, MODEL))
+    return encoded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece_encoding", sentencepiece_encoding),
+]
+#: SimHash groups and SentencePiece ids are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each written to the shared folder and read again."""
+    tables, docs = Tables(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = tables.keep(docs)
     return docs

@@ -22,6 +22,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def filter_after(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition), but evaluated on the columns as computed. The optimizer would push the filter below their
+    projections and copy their expressions into it, into lambdas as well; it doesn't where the filter hangs on a row number."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (as in
     tests on one machine) a temporary one."""

@@ -18,6 +18,7 @@ fingerprints.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import Tables, components
 
 #: The largest bucket whose fingerprints are compared in pairs; beyond it the linear way is taken.
 PAIRED = 64
+#: Bits of a segment that flip where there are several lanes.
+WEAK = 16
 SEED = 42
 
 
@@ -51,14 +54,27 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 1024):
         bits = np.unpackbits(hashes[at : at + 255 * 1024].view(np.uint8), bitorder="little").reshape(-1, 64)
         whole = len(bits) // 255 * 255
         counts += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return counts
+
+
+def packed(bits: np.ndarray) -> int:
+    """64 bits as a signed number."""
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+
+def close_calls(margin: np.ndarray) -> np.ndarray:
+    """Marks the WEAK bits of each segment whose counts are nearest to one half."""
+    out = np.zeros(64, bool)
+    for half in (0, 32):
+        out[half + np.argsort(margin[half : half + 32], kind="stable")[:WEAK]] = True
+    return out
 
 
 def lane(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -73,14 +89,17 @@ def lane(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprint_udf(shingle: int, lanes: int):
-    """array<bigint> of `lanes` fingerprints of 64 bits. Arrow batches; a text is never cut."""
+    """array<bigint> of `lanes` fingerprints of 64 bits and, if there are several, as many masks of the bits
+    that were close calls. Arrow batches; a text is never cut."""
 
     @F.pandas_udf("array<bigint>")
     def fingerprint(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             hashes = shingle_hashes(text, shingle)
-            out.append([majority(lane(hashes, k)) for k in range(lanes)])
+            counts = [bit_counts(lane(hashes, k)) * 2 for k in range(lanes)]
+            row = [packed(c > len(hashes)) for c in counts]
+            out.append(row if lanes == 1 else row + [packed(close_calls(np.abs(c - len(hashes)))) for c in counts])
         return pd.Series(out, dtype=object)
 
     return fingerprint
@@ -91,44 +110,56 @@ def distance(a: Column, b: Column, lanes: int) -> Column:
 
 
 def segment_keys(fps: DataFrame, lanes: int) -> DataFrame:
-    """(node, fp, key): key holds the segment's number and, in 32 bits, a value within 1 bit of the segment."""
+    """(node, key, flip): key holds the segment's number and, in 32 bits, a value within 1 bit of the segment;
+    flip is that bit, 0 for the segment itself. With several lanes only bits that were close calls flip."""
     ball = [0] + [1 << i for i in range(32)]
-    parts = F.array(*[x for k in range(lanes) for x in (F.col("fp")[k].bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp")[k], 32))])
-    return (
-        fps.select("node", "fp", F.posexplode(parts).alias("segment", "part"))
-        .withColumn("flip", F.explode(F.lit(np.array(ball, np.int64))))
-        .select("node", "fp", "part", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("part").bitwiseXOR(F.col("flip"))).alias("key"))
-    )
+    halves = lambda k: (F.col("fp")[k].bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp")[k], 32))
+    every = F.lit(0xFFFFFFFF)
+    parts = [F.struct(part.alias("part"), (weak if lanes > 1 else every).alias("weak")) for k in range(lanes) for part, weak in zip(halves(k), halves(lanes + k), strict=True)]
+    rows = fps.select("node", F.posexplode(F.array(*parts)).alias("segment", "s")).withColumn("flip", F.explode(F.lit(np.array(ball, np.int64))))
+    rows = rows.filter(F.col("flip").bitwiseAND(F.col("s.weak")) == F.col("flip"))
+    return rows.select("node", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("s.part").bitwiseXOR(F.col("flip"))).alias("key"), "flip")
 
 
 def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Edges (a, b) between nodes of fps (node long, fp array<bigint>) that give the groups of all pairs within
-    radius. For one lane this is exact up to radius 4. With more lanes two fingerprints are compared if any
-    segment differs in at most 2 bits, and in buckets above PAIRED with the smallest fingerprint of the
-    bucket and the next in order only."""
+    radius. For one lane, where the node is the fingerprint, this is exact at radius 4. With more lanes two
+    fingerprints are compared if some segment differs in at most 2 bits, close calls of one and the other; in
+    buckets above PAIRED each is compared with the first and the next of the bucket, in an order of its own."""
     if lanes == 1 and radius != 4:
         raise ValueError("with one lane the radius is 4: balls of radius 2 meet up to a distance of 4")
     met = segment_keys(fps, lanes).withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1")
     met = tables.keep(met)
-    a, b = (met.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "fp", "part")]) for side in "ab")
-    low = F.col("part_a").bitwiseXOR(F.col("part_b"))
-    low = low.bitwiseAND(-low)
-    # Two fingerprints meet under several keys; the pair is taken under the smallest value between them alone.
-    one = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) == F.least(F.col("part_a").bitwiseXOR(low), F.col("part_b").bitwiseXOR(low))
-    pairs = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & one & (distance(F.col("fp_a"), F.col("fp_b"), lanes) <= radius)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    a, b = (met.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "flip")]) for side in "ab")
     crowded = met.filter(F.col("met") > PAIRED)
+    pairs = a.join(b, "key").filter(F.col("node_a") < F.col("node_b"))
+    ends = (F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     if lanes == 1:
+        # Two fingerprints meet under several keys; the pair is taken under the smallest value between them alone.
+        value = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+        low = F.col("flip_a").bitwiseXOR(F.col("flip_b"))
+        low = low.bitwiseAND(-low)
+        between = [value.bitwiseXOR(F.col(f"flip_{side}")).bitwiseXOR(low) for side in "ab"]
+        pairs = pairs.filter((value == F.least(*between)) & (F.bit_count(F.col("node_a").bitwiseXOR(F.col("node_b"))) <= radius)).select(*ends)
         wide = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-        balls = crowded.select("node", F.col("fp")[0].alias("own")).distinct().withColumn("flip", F.explode(F.lit(np.array([signed(x) for x in wide], np.int64))))
+        balls = crowded.select("node").distinct().withColumn("flip", F.explode(F.lit(np.array([signed(x) for x in wide], np.int64))))
         hub = F.min("node").over(Window.partitionBy("value"))
-        near = balls.select("node", F.col("own").bitwiseXOR(F.col("flip")).alias("value")).withColumn("hub", hub)
-        stars = near.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    else:
-        w = Window.partitionBy("key")
-        rows = crowded.select("node", "fp", F.min(F.struct("node", "fp")).over(w).alias("first"), F.lag(F.struct("node", "fp")).over(w.orderBy("node")).alias("last"))
-        rows = rows.select("node", "fp", F.explode(F.array("first", "last")).alias("other")).filter("other is not null and other.node <> node")
-        stars = rows.filter(distance(F.col("fp"), F.col("other.fp"), lanes) <= radius).select(F.col("other.node").alias("a"), F.col("node").alias("b"))
-    return pairs.union(stars).distinct()
+        near = balls.select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("value")).withColumn("hub", hub)
+        return pairs.union(near.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
+    # Equal segments meet under every flip; the pair is taken without one.
+    pairs = pairs.filter((F.col("flip_a") != F.col("flip_b")) | (F.col("flip_a") == 0)).select(*ends)
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    near = crowded.select("node", F.array(F.first("node").over(order), F.lag("node").over(order)).alias("others"))
+    near = near.select("node", F.explode("others").alias("other")).filter("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    pairs = tables.keep(pairs.union(near).distinct())
+    at = lambda side: fps.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= radius).select("a", "b")
+
+
+def radius_for(similarity: float, lanes: int) -> int:
+    """The expected distance of two texts whose sets of shingles have this Jaccard similarity: the share of
+    bits that differ is the angle between their vectors over pi."""
+    return round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4) -> DataFrame:
@@ -147,11 +178,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def grouped(tables: Tables, made: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Adds component_id to rows (id, fp)."""
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
+    node = F.col("fp")[0] if lanes == 1 else F.xxhash64(F.slice("fp", 1, lanes))
     made = made.withColumn("node", node)
-    fps = tables.keep(made.groupBy("node", "fp").agg(F.min("id").alias("least")))
+    fps = tables.keep(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("least")))
     comps = components(tables, links(tables, fps, lanes, radius))
     member = fps.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     groups = member.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = member.join(groups, "comp").select("node", "component_id")
     return made.join(named, "node").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the group's smallest id (of rows with equal ids
+    the one of smallest text, of equal rows one). Rows with a null id stand for their group only if all of its ids are null."""
+    own = docs.drop("_fp", "_rank")
+    found = near_duplicates(own, id_col, text_col, shingle, lanes, radius_for(similarity, lanes))
+    chosen = found.select(F.col("component_id").alias("_keep"), F.col(id_col).alias("_id")).filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_id").distinct()
+    left = own.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    return left.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
