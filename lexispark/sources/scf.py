@@ -1,0 +1,149 @@
+"""Python data sources for binary dictionaries.
+
+FilterNames is a Thrift binary struct: field 1 maps target ids to names, field 2 names to target ids. Offset
+arrays (csr) are a file x.mmap with the bytes of all names and x_begin.mmap with n + 1 unsigned 64-bit offsets.
+"""
+
+from __future__ import annotations
+
+import io
+import struct
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Type codes of the Thrift binary protocol. Fixed values.
+STOP, BOOL, BYTE, DOUBLE, I16, I32, I64, STRING, STRUCT, MAP, SET, LIST = 0, 2, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15
+WIDTH = {BOOL: 1, BYTE: 1, DOUBLE: 8, I16: 2, I32: 4, I64: 8}
+
+
+class Decoder:
+    """Values of the Thrift binary protocol from a file; strings as bytes, structs as {field id: value}."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def take(self, n: int) -> bytes:
+        out = self.file.read(n)
+        if len(out) != n or n < 0:
+            raise ValueError("the file ends inside a value")
+        return out
+
+    def number(self, form: str) -> int:
+        return struct.unpack(">" + form, self.take(struct.calcsize(form)))[0]
+
+    def value(self, kind: int):
+        if kind in WIDTH:
+            return self.number({1: "b", 2: "h", 4: "i", 8: "d" if kind == DOUBLE else "q"}[WIDTH[kind]])
+        if kind == STRING:
+            return self.take(self.number("i"))
+        if kind == STRUCT:
+            out = {}
+            while (k := self.number("b")) != STOP:
+                field = self.number("h")
+                out[field] = self.value(k)
+            return out
+        if kind == MAP:
+            a, b, n = self.number("b"), self.number("b"), self.number("i")
+            return [(self.value(a), self.value(b)) for _ in range(n)]
+        if kind in (SET, LIST):
+            k, n = self.number("b"), self.number("i")
+            return [self.value(k) for _ in range(n)]
+        raise ValueError(f"unknown type code {kind}")
+
+
+def decode_names(content: bytes) -> list[tuple[str, str]]:
+    """(name, target_id) of a FilterNames; from field 2 if it is there, else from field 1. Unknown fields are skipped."""
+    fields = Decoder(io.BytesIO(content)).value(STRUCT)
+    text = lambda b: b.decode()
+    if fields.get(2) is not None:
+        return [(text(name), text(t)) for name, targets in sorted(fields[2]) for t in targets]
+    return [(text(name), text(target)) for target, names in fields.get(1) or [] for name in names]
+
+
+def encode_names(pairs: list[tuple[str, str]]) -> bytes:
+    """A FilterNames with both maps of (name, target_id)."""
+
+    def table(rows) -> bytes:
+        by: dict[str, list[str]] = {}
+        for k, v in rows:
+            by.setdefault(k, []).append(v)
+        string = lambda s: struct.pack(">i", len(b := s.encode())) + b
+        body = b"".join(string(k) + struct.pack(">bi", STRING, len(v)) + b"".join(map(string, v)) for k, v in by.items())
+        return struct.pack(">bbi", STRING, LIST, len(by)) + body
+
+    both = (table((t, n) for n, t in pairs), table(pairs))
+    return b"".join(struct.pack(">bh", MAP, i + 1) + x for i, x in enumerate(both)) + bytes([STOP])
+
+
+class File(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(path)
+
+
+class NamesReader(DataSourceReader):
+    """One partition a file; a glob may name several."""
+
+    def __init__(self, options, decode):
+        self.path, self.decode = options["path"], decode
+
+    def partitions(self):
+        from glob import glob
+
+        found = sorted(glob(self.path.removeprefix("file://")))
+        if not found:
+            raise FileNotFoundError(self.path)
+        return [File(p) for p in found]
+
+    def read(self, partition):
+        yield from self.decode(partition.value)
+
+
+def scf_file(path: str):
+    with open(path, "rb") as f:
+        yield from decode_names(f.read())
+
+
+def csr_file(path: str):
+    with open(path, "rb") as f:
+        data = f.read()
+    with open(path.removesuffix(".mmap") + "_begin.mmap", "rb") as f:
+        begins = f.read()
+    at = struct.unpack(f"<{len(begins) // 8}Q", begins)
+    for a, b in zip(at, at[1:], strict=False):
+        yield data[a:b].decode(), None
+
+
+def csr_bytes(names: list[str]) -> tuple[bytes, bytes]:
+    """The two files of the offset arrays."""
+    parts = [n.encode() for n in names]
+    at = [0]
+    for p in parts:
+        at.append(at[-1] + len(p))
+    return b"".join(parts), struct.pack(f"<{len(at)}Q", *at)
+
+
+class ScfNames(DataSource):
+    @classmethod
+    def name(cls):
+        return "lexispark_scf"
+
+    def schema(self):
+        return "name string, target_id string"
+
+    def reader(self, schema):
+        return NamesReader(self.options, scf_file)
+
+
+class CsrNames(ScfNames):
+    @classmethod
+    def name(cls):
+        return "lexispark_csr"
+
+    def reader(self, schema):
+        return NamesReader(self.options, csr_file)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(ScfNames)
+    spark.dataSource.register(CsrNames)
