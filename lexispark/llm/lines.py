@@ -71,7 +71,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     own = docs.drop("cut_lines", "_th", "_cuts")
     found = repeats(own, id_col, text_col, least).select(F.col("id").alias("_id"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"))
     keyed = own.withColumn("_th", F.xxhash64(text_col))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
+    # Sorted and merged at every size: what is cut grows with the corpus and is never broadcast.
+    joined = keyed.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda _, p: ~F.exists("_cuts", lambda c: (p >= c["first"]) & (p <= c["last"])))
     cut = F.aggregate("_cuts", F.lit(0).cast("bigint"), lambda x, c: x + (c["last"] - c["first"] + 1))

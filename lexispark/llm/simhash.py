@@ -194,6 +194,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     own = docs.drop("_fp", "_rank")
     found = near_duplicates(own, id_col, text_col, shingle, lanes, radius_for(similarity, lanes))
     chosen = found.select(F.col("component_id").alias("_keep"), F.col(id_col).alias("_id")).filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_id").distinct()
-    left = own.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    left = own.join(chosen.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
     return left.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
