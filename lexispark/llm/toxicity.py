@@ -91,7 +91,7 @@ CAPITALS = dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊË
 MARKS = dict.fromkeys(map(ord, "#$%&*+/<=>@\\^_|~"))
 
 
-def fit_tree(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, n_bins: int, depth: int, least: float = 5.0, ridge: float = 1.0) -> list[tuple]:
+def fit_tree(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, n_bins: int, depth: int, least: float, ridge: float = 1.0) -> list[tuple]:
     """A tree as nodes (feature, bin, left, right, value); a leaf has feature -1. Splits by histograms."""
     nodes: list[tuple] = []
 
@@ -149,9 +149,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
     p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     model = Trees(cuts, float(np.log(p / (1 - p))), [], rate)
     bins, margin = model.binned(x), np.full(len(x), model.base)
+    least = float(np.clip(p * (1 - p) * len(y) / 40, 0.5, 5.0))  # of the Hessian in a leaf; less for small samples
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-margin))
-        one = Trees(cuts, 0.0, [fit_tree(bins, q - y, q * (1 - q), n_bins, depth)], rate)
+        one = Trees(cuts, 0.0, [fit_tree(bins, q - y, q * (1 - q), n_bins, depth, least)], rate)
         model.trees += one.trees
         margin += one.margin(x)
     return model
