@@ -55,8 +55,9 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, d: str, **config) -> tuple[DataFrame, MatchConfig]:
+    """The patterns are read several times: for their size, for the automaton and for their targets."""
     c = MatchConfig(**config)
-    return names.prepare(dictionary(spark, d), c), c
+    return names.prepare(dictionary(spark, d), c).persist(), c
 
 
 def quoted(rows) -> str:
