@@ -121,3 +121,23 @@ def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     own = docs.drop("q", "base_failed", "kept", "_w", "_l", "_s", "_h", "_g", "_n", "_r", "_p", "n_repeat_words")
     failed = (F.col("q.n_words") < 20) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
     return metrics(own, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compiled("q", rules))
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+counts AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+    len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop,
+    len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) AS n_bullet, len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '(\.\.\.|…)$'))) AS n_ellipsis
+    FROM w LEFT JOIN cover USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2.0 AND 16.0 AND n_symbols / n_words <= 0.1::DOUBLE AND n_stop / n_words >= 0.02::DOUBLE
+    AND n_dup_lines / n_lines <= 0.5::DOUBLE AND n_bullet / n_lines <= 0.9::DOUBLE AND n_ellipsis / n_lines <= 0.3::DOUBLE AS kept
+FROM failed
+"""
