@@ -157,9 +157,11 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
 
 
 def radius_for(similarity: float, lanes: int) -> int:
-    """The expected distance of two texts whose sets of shingles have this Jaccard similarity: the share of
-    bits that differ is the angle between their vectors over pi."""
-    return round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """The distance within which five of six pairs lie whose sets of shingles have this Jaccard similarity. The
+    share of bits that differ is expected to be the angle between their vectors over pi; to that comes one
+    standard deviation."""
+    bits, share = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4) -> DataFrame:
