@@ -30,7 +30,7 @@ class MatchConfig:
     max_broadcast: int = 64 << 20
 
     def __post_init__(self):
-        for name, value, allowed in (("text_source", self.text_source, SOURCES), ("duplicates", self.duplicates, ("first", "union")), ("normalize", self.normalize, ("unicode", "ascii", "none")), ("names_format", self.names_format, ("json", "json_inverse", "lines", "scf", "csr", "parquet"))):
+        for name, value, allowed in (("text_source", self.text_source, SOURCES), ("duplicates", self.duplicates, ("first", "union")), ("normalize", self.normalize, ("unicode", "ascii", "none")), ("names_format", self.names_format, ("json", "json_inverse", "lines", "thrift", "csr", "parquet"))):
             if value not in allowed:
                 raise ValueError(f"{name} {value!r} is not one of {', '.join(allowed)}")
         if not 0 < self.min_bytes <= self.max_bytes:

@@ -1,6 +1,6 @@
 """Python data sources for binary dictionaries.
 
-FilterNames is a Thrift binary struct: field 1 maps target ids to names, field 2 names to target ids. Offset
+A dictionary is a Thrift binary struct: field 1 maps target ids to names, field 2 names to target ids. Offset
 arrays (csr) are a file x.mmap with the bytes of all names and x_begin.mmap with n + 1 unsigned 64-bit offsets.
 """
 
@@ -53,7 +53,7 @@ class Decoder:
 
 
 def decode_names(content: bytes) -> list[tuple[str, str]]:
-    """(name, target_id) of a FilterNames; from field 2 if it is there, else from field 1. Unknown fields are skipped."""
+    """(name, target_id) of a dictionary; from field 2 if it is there, else from field 1. Unknown fields are skipped."""
     fields = Decoder(io.BytesIO(content)).value(STRUCT)
     text = lambda b: b.decode()
     if fields.get(2) is not None:
@@ -62,7 +62,7 @@ def decode_names(content: bytes) -> list[tuple[str, str]]:
 
 
 def encode_names(pairs: list[tuple[str, str]]) -> bytes:
-    """A FilterNames with both maps of (name, target_id)."""
+    """A dictionary with both maps of (name, target_id)."""
 
     def table(rows) -> bytes:
         by: dict[str, list[str]] = {}
@@ -99,7 +99,7 @@ class NamesReader(DataSourceReader):
         yield from self.decode(partition.value)
 
 
-def scf_file(path: str):
+def thrift_file(path: str):
     with open(path, "rb") as f:
         yield from decode_names(f.read())
 
@@ -123,19 +123,19 @@ def csr_bytes(names: list[str]) -> tuple[bytes, bytes]:
     return b"".join(parts), struct.pack(f"<{len(at)}Q", *at)
 
 
-class ScfNames(DataSource):
+class ThriftNames(DataSource):
     @classmethod
     def name(cls):
-        return "lexispark_scf"
+        return "lexispark_thrift"
 
     def schema(self):
         return "name string, target_id string"
 
     def reader(self, schema):
-        return NamesReader(self.options, scf_file)
+        return NamesReader(self.options, thrift_file)
 
 
-class CsrNames(ScfNames):
+class CsrNames(ThriftNames):
     @classmethod
     def name(cls):
         return "lexispark_csr"
@@ -145,5 +145,5 @@ class CsrNames(ScfNames):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ScfNames)
+    spark.dataSource.register(ThriftNames)
     spark.dataSource.register(CsrNames)

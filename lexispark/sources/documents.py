@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The nested shape of a document, for sinks that want it.
-STREAM_ITEM = (
+DOCUMENT = (
     "doc_id string, stream_id string, stream_time struct<epoch_ticks:double,zulu_timestamp:string>, "
     "body struct<raw:binary,clean_html:string,clean_visible:string,encoding:string,media_type:string,"
     "sentences:map<string,array<struct<tokens:array<struct<token_num:int,token:string,offsets:map<string,struct<type:string,first:int,length:int,value:string,content_form:string>>>>>>>,"

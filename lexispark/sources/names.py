@@ -1,11 +1,11 @@
-"""Reading and writing dictionaries: lines, JSON in both directions, binary FilterNames, offset arrays, Parquet."""
+"""Reading and writing dictionaries: lines, JSON in both directions, binary structs, offset arrays, Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scf import register
+from .binary import register
 
 LONG = "name string, target_id string"
 
@@ -14,7 +14,7 @@ def read_names(spark: SparkSession, path: str, fmt: str = "json", strip_cr: bool
     """name_targets(name, target_id) from a file.
 
     lines: one name a line, without targets; the last line counts without a line end too; empty lines don't. strip_cr
-    takes CR off line ends. json: one object target_id -> names; json_inverse: name -> target_ids. scf: binary FilterNames. csr: a file of
+    takes CR off line ends. json: one object target_id -> names; json_inverse: name -> target_ids. thrift: a binary struct of both maps. csr: a file of
     names one after the other, and beside it their offsets. parquet: a table that write_names has written.
     """
     if fmt == "lines":
@@ -23,7 +23,7 @@ def read_names(spark: SparkSession, path: str, fmt: str = "json", strip_cr: bool
         return names.filter("name <> ''").withColumn("target_id", F.lit(None).cast("string"))
     if fmt in ("json", "json_inverse"):
         return from_json_maps(spark.read.option("wholetext", True).text(path), fmt == "json_inverse")
-    if fmt in ("scf", "csr"):
+    if fmt in ("thrift", "csr"):
         register(spark)
         return spark.read.format(f"lexispark_{fmt}").load(path)
     if fmt == "parquet":

@@ -4,7 +4,7 @@ import pytest
 
 from lexispark.operators import names
 from lexispark.plans.config import MatchConfig
-from lexispark.sources import documents, scf
+from lexispark.sources import binary, documents
 from lexispark.sources.names import read_names, write_names
 from lexispark.streaming.match import rated_stream, read_stream, write_stream
 
@@ -21,12 +21,12 @@ def test_names_formats(spark, tmp_path):
     assert ("Bo Øre", "-") in rows(read_names(spark, f"{tmp_path}/n.txt", "lines", strip_cr=True).fillna("-"))
     (tmp_path / "a.json").write_text(json.dumps({"t1": ["Ann Ek", "Bo Øre"], "t2": ["Bo Øre"]}))
     (tmp_path / "b.json").write_text(json.dumps({"Ann Ek": ["t1"], "Bo Øre": ["t1", "t2"]}))
-    (tmp_path / "n.scf").write_bytes(scf.encode_names(PAIRS))
-    for path, fmt in (("a.json", "json"), ("b.json", "json_inverse"), ("n.scf", "scf")):
+    (tmp_path / "n.bin").write_bytes(binary.encode_names(PAIRS))
+    for path, fmt in (("a.json", "json"), ("b.json", "json_inverse"), ("n.bin", "thrift")):
         assert rows(read_names(spark, f"{tmp_path}/{path}", fmt)) == PAIRS
-    write_names(read_names(spark, f"{tmp_path}/n.scf", "scf"), f"{tmp_path}/p")
+    write_names(read_names(spark, f"{tmp_path}/n.bin", "thrift"), f"{tmp_path}/p")
     assert rows(read_names(spark, f"{tmp_path}/p", "parquet")) == PAIRS
-    data, begin = scf.csr_bytes(["Ann Ek", "Bo Øre"])
+    data, begin = binary.csr_bytes(["Ann Ek", "Bo Øre"])
     (tmp_path / "c.mmap").write_bytes(data)
     (tmp_path / "c_begin.mmap").write_bytes(begin)
     assert [r.name for r in read_names(spark, f"{tmp_path}/c.mmap", "csr").collect()] == ["Ann Ek", "Bo Øre"]
@@ -35,11 +35,11 @@ def test_names_formats(spark, tmp_path):
 
 
 def test_decoder_skips_unknown_fields_and_refuses_short_files():
-    extra = bytes([scf.I32, 0, 9, 0, 0, 0, 5]) + bytes([scf.LIST, 0, 8, scf.BYTE, 0, 0, 0, 1, 7])
-    content = scf.encode_names(PAIRS)
-    assert sorted(scf.decode_names(extra + content)) == PAIRS
+    extra = bytes([binary.I32, 0, 9, 0, 0, 0, 5]) + bytes([binary.LIST, 0, 8, binary.BYTE, 0, 0, 0, 1, 7])
+    content = binary.encode_names(PAIRS)
+    assert sorted(binary.decode_names(extra + content)) == PAIRS
     with pytest.raises(ValueError):
-        scf.decode_names(content[:-4])
+        binary.decode_names(content[:-4])
 
 
 def test_lookup_prunes_to_one_folder(spark, tmp_path):
