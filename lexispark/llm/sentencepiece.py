@@ -12,27 +12,32 @@ is merged on its own. So a path may be extended by a piece if the piece and the
 neighbours, and exactly one edge into each node qualifies. Both kinds run through the same window.
 
 Pieces don't reach over the start of a word mark that follows another character, so a text also falls apart
-there; a bounded cache keeps the ids of frequent words.
+there; words of some texts are looked up together, in order, and a bounded cache keeps their ids.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 BPE = 2
+#: Characters of text whose words are looked up together, and the longest word that is not streamed.
+CHARACTERS, WORD = 1_000_000, 64
+#: Texts that are Python objects at a time.
+SLICE = 250
 
 
 class Codec:
-    """Encoder and decoder of one model file. cache: the number of words whose ids are kept."""
+    """Encoder and decoder of one model file. cache: the number of words, and half of it of pairs of pieces, beyond
+    which what is known of them is forgotten."""
 
-    def __init__(self, content: bytes, cache: int = 500_000):
+    def __init__(self, content: bytes, cache: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=content)
@@ -41,6 +46,7 @@ class Codec:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
+        self.codes = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.order = {p: -s for p, s in self.score.items() if len(p) > 1}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -53,9 +59,10 @@ class Codec:
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         #: Stretches that no piece leaves: a run of marks with what follows it up to the next mark.
         self.words = None if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.apart = lru_cache(1_000_000)(self.stay_apart)
+        self.pairs, self.n_pairs = {}, 0
         self.parts = lru_cache(None)(self.last_merge)  # of pieces of the vocabulary only
-        self.word = lru_cache(cache)(self.word_ids)
+        self.known: dict[str, bytes] = {}
+        self.cache = cache
 
     def last_merge(self, piece: str) -> tuple[str, str]:
         """The two parts of which merging makes a piece last; best score first, then leftmost."""
@@ -80,74 +87,136 @@ class Codec:
                 right, due = self.parts(right)[0], made_right + 0.5
         return False
 
+    def edge(self, text: str, at: int, back: list, base: int) -> tuple[str, float]:
+        """The last piece of the best path to boundary `at`, and the path's score (0 for BPE)."""
+        ids, lowest = self.ids, max(base, at - self.longest)
+        if not self.bpe:
+            score, best = self.score, ("", -np.inf)
+            for start in range(at - 1, lowest - 1, -1):
+                piece = text[start:at]
+                if piece in ids or start == at - 1:
+                    total = back[start - base][1] + score.get(piece, -1e6)
+                    if total > best[1] or total == best[1] and len(piece) > len(best[0]):
+                        best = (piece, total)
+            return best
+        # One edge qualifies; that which makes the last piece one character longer is the likeliest.
+        pairs, likely = self.pairs, at - 1 - len(back[at - 1 - base][0])
+        for start in (likely, *range(at - 1, lowest - 1, -1)):
+            piece = text[start:at]
+            if start >= lowest and (piece in ids or start == at - 1):
+                last = back[start - base][0]
+                if not last:
+                    return piece, 0.0
+                apart = pairs[last].get(piece) if last in pairs else None
+                if apart or apart is None and self.apart(last, piece):
+                    return piece, 0.0
+        raise ValueError(f"no path to {text[base:at]!r}")
+
+    def apart(self, a: str, b: str) -> bool:
+        after = self.pairs.get(a)
+        if after is None:
+            after = self.pairs[a] = {}
+        known = after.get(b)
+        if known is None:
+            self.n_pairs += 1
+            if self.n_pairs > self.cache // 2:
+                self.pairs, self.n_pairs = {}, 0
+            known = after[b] = self.stay_apart(a, b)
+        return known
+
     def stream(self, text: str):
         """Yields committed runs of pieces of a text."""
-        far, ids, score = self.longest, self.ids, self.score
+        far, edge, end = self.longest, self.edge, len(text)
         back = [("", 0.0)]  # of boundary base + k: last piece, sum of scores
-        base, end = 0, len(text)
-        since = 0
+        base = since = 0
         for at in range(1, end + 1):
-            best = None
-            for start in range(at - 1, max(base, at - far) - 1, -1):
-                piece = text[start:at]
-                if piece in ids or at - start == 1:
-                    last, total = back[start - base]
-                    if self.bpe:
-                        if start == 0 or (start == base and not last) or self.apart(last, piece):
-                            best = (piece, 0.0)
-                            break
-                    else:
-                        total += score.get(piece, -1e6)
-                        if best is None or total >= best[1]:
-                            best = (piece, total)
-            back.append(best)
+            back.append(edge(text, at, back, base))
             since += 1
             if at == end or since >= 4 * far:
                 since = 0
                 meet = at if at == end else self.meeting(back, base, at)
                 if meet > base:
-                    run, p = [], meet
-                    while p > base:
-                        run.append(back[p - base][0])
-                        p -= len(run[-1])
-                    yield run[::-1]
-                    keep = back[meet - base][0]
-                    back = [(keep, back[meet - base][1]), *back[meet - base + 1 :]]
+                    yield self.path(back, meet - base)
+                    back = back[meet - base :]
                     base = meet
 
     def meeting(self, back: list, base: int, at: int) -> int:
         """The last boundary that the paths of all nodes within the longest piece of `at` share."""
-        paths = {p for p in range(max(base, at - self.longest + 1), at + 1)}
-        while len(paths) > 1:
-            p = max(paths)
-            if p == base:
-                break
-            paths.remove(p)
-            paths.add(p - len(back[p - base][0]))
-        return min(paths)
-
-    def word_ids(self, word: str) -> bytes:
+        open_ = set(range(max(base, at - self.longest + 1), at + 1))
+        while len(open_) > 1:
+            p = max(open_)
+            open_.remove(p)
+            open_.add(p - len(back[p - base][0]) if p > base else base)
+        return open_.pop()
+
+    @staticmethod
+    def path(back: list, at: int) -> list[str]:
+        """The pieces of the path to back[at]."""
+        run = []
+        while at > 0:
+            run.append(back[at][0])
+            at -= len(run[-1])
+        return run[::-1]
+
+    def short(self, words: list[str]):
+        """Yields (word, ids) for sorted words that fit into a window; boundaries that a word shares with the
+        one before keep their backpointers."""
+        edge, codes, before, back = self.edge, self.codes, "", [("", 0.0, b"")]
+        for word in words:
+            same = 0
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del back[same + 1 :]
+            for at in range(same + 1, len(word) + 1):
+                piece, score = edge(word, at, back, 0)
+                back.append((piece, score, back[at - len(piece)][2] + (codes.get(piece) or self.numbered([piece]))))
+            before = word
+            yield word, back[-1][2]
+
+    def numbered(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for run in self.stream(word):
-            for piece in run:
-                i = self.ids.get(piece)
-                if i is not None:
-                    out.append(i)
-                elif self.byte_of:
-                    out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-                else:
-                    out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        for piece in pieces:
+            i = self.ids.get(piece)
+            if i is not None:
+                out.append(i)
+            elif self.byte_of:
+                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
+            else:
+                out.append(self.unknown)
+        return array("i", out).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for null and empty texts."""
-        if not text:
-            return np.empty(0, np.int32)
-        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        if self.words is None:
-            return np.frombuffer(self.word_ids(marked), np.int32)
-        word = self.word
-        return np.frombuffer(b"".join([word(w) if len(w) < 64 else self.word_ids(w) for w in self.words.findall(marked)]), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """The ids of texts, CHARACTERS at a time; the words of these are looked up together."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= CHARACTERS:
+                out += self.encode_some(held)
+                held, size = [], 0
+        return out + self.encode_some(held)
+
+    def encode_some(self, texts) -> list[np.ndarray]:
+        marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
+        lists = [self.words.findall(t) if self.words else [t] * bool(t) for t in marked]
+        if len(self.known) > self.cache:
+            self.known = {}
+        known = self.known
+        new = set().union(*lists).difference(known)
+        long = {w for w in new if len(w) > WORD}
+        known.update(self.short(sorted(new - long)))
+        for w in long:
+            known[w] = b"".join(map(self.numbered, self.stream(w)))
+        out = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in lists]
+        for w in long:
+            del known[w]
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are put together, marks become blanks, and the one that encoding puts
@@ -197,24 +266,58 @@ def read_model(spark, path: str) -> bytes:
         return f.read()
 
 
+def in_slices(texts, model: bytes, check: bool):
+    """The ids of an Arrow array of texts as an Arrow list array and, with check, whether each text comes back.
+    A few hundred texts at a time become Python objects."""
+    import pyarrow as pa
+
+    c, parts, lengths, same = codec(model), [np.empty(0, np.int32)], [0], []
+    for at in range(0, len(texts), SLICE):
+        some = texts.slice(at, SLICE).to_pylist()
+        ids = c.encode_all(some)
+        lengths += map(len, ids)
+        parts.append(np.concatenate(ids))
+        if check:
+            same += [c.decode(i) == (t or "").replace(MARK, " ") for t, i in zip(some, ids, strict=True)]
+    offsets = np.cumsum(np.array(lengths, np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(parts)), pa.array(same, pa.bool_())
+
+
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array of ids of the whole text; none for null and empty texts, null for neither. Repeated
     rows are encoded each; an empty table gives no rows. A column of the name `ids` is replaced."""
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        c = codec(model)
-        return pd.Series([c.encode(t) for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def encoded(texts):
+        return in_slices(texts, model, False)[0]
 
     return docs.withColumn(ids, encoded(F.col(text_col)))
 
 
+def encode_checked(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """docs with ids and round_trip: whether decoding them gives the text again (literal word marks as blanks).
+    Otherwise as encode."""
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def encoded(texts):
+        import pyarrow as pa
+
+        return pa.StructArray.from_arrays(in_slices(texts, model, True), ["ids", "round_trip"])
+
+    made = docs.withColumn("_both", encoded(F.col(text_col)))
+    return made.withColumns({"ids": F.col("_both.ids"), "round_trip": F.col("_both.round_trip")}).drop("_both")
+
+
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", text: str = "text") -> DataFrame:
     """rows with the text of their ids; empty for null and for no ids."""
 
-    @F.pandas_udf("string")
-    def decoded(lists: pd.Series) -> pd.Series:
-        c = codec(model)
-        return pd.Series([c.decode(x) if x is not None else "" for x in lists], dtype=object)
+    @F.arrow_udf("string")
+    def decoded(lists):
+        import pyarrow as pa
+
+        c, out = codec(model), []
+        for at in range(0, len(lists), SLICE):
+            out += [c.decode(x) if x else "" for x in lists.slice(at, SLICE).to_pylist()]
+        return pa.array(out, pa.string())
 
     return rows.withColumn(text, decoded(F.col(ids)))
