@@ -125,7 +125,7 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Edges (a, b) between nodes of fps (node long, fp array<bigint>) that give the groups of all pairs within
     radius. For one lane, where the node is the fingerprint, this is exact at radius 4. With more lanes two
     fingerprints are compared if some segment differs in at most 2 bits, close calls of one and the other; in
-    buckets above PAIRED each is compared with the first and the next of the bucket, in an order of its own."""
+    buckets above PAIRED each is compared with the smallest, and with the first and the next in an order of the bucket's own."""
     if lanes == 1 and radius != 4:
         raise ValueError("with one lane the radius is 4: balls of radius 2 meet up to a distance of 4")
     met = segment_keys(fps, lanes).withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1")
@@ -146,14 +146,34 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
         hub = F.min("node").over(Window.partitionBy("value"))
         near = balls.select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("value")).withColumn("hub", hub)
         return pairs.union(near.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
-    # Equal segments meet under every flip; the pair is taken without one.
-    pairs = pairs.filter((F.col("flip_a") != F.col("flip_b")) | (F.col("flip_a") == 0)).select(*ends)
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-    near = crowded.select("node", F.array(F.first("node").over(order), F.lag("node").over(order)).alias("others"))
-    near = near.select("node", F.explode("others").alias("other")).filter("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    pairs = tables.keep(pairs.union(near).distinct())
+    return starred(tables, fps, met, lanes, radius)
+
+
+def starred(tables: Tables, fps: DataFrame, met: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Edges within the radius for several lanes, in two steps. First each fingerprint is compared with the
+    smallest of every bucket; that alone joins most of a family of near copies. Then the pairs of a bucket that
+    are not in one group yet are compared: fewer by the square of what the first step has joined, and none of
+    the others could join more."""
     at = lambda side: fps.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"))
-    return pairs.join(at("a"), "a").join(at("b"), "b").filter(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= radius).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(at("a"), "a").join(at("b"), "b")
+        return both.filter(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= radius).select("a", "b")
+
+    bucket = Window.partitionBy("key")
+    stars = tables.keep(verified(met.select(F.min("node").over(bucket).alias("a"), F.col("node").alias("b")).filter("a <> b")))
+    more = met.filter("met > 2").join(components(tables, stars), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = more.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).filter("low <> high")
+    more = tables.keep(more.select("key", "node", "flip", "met", "comp"))
+    a, b = (more.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "flip", "comp")]) for side in "ab")
+    # Equal segments meet under every flip; the pair is taken without one.
+    once = (F.col("flip_a") != F.col("flip_b")) | (F.col("flip_a") == 0)
+    pairs = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    order = bucket.orderBy(F.xxhash64("node", "key"), "node")
+    other = lambda column: F.struct(column("node").over(order).alias("node"), column("comp").over(order).alias("comp"))
+    near = more.filter(F.col("met") > PAIRED).select("node", "comp", F.array(other(F.first), other(F.lag)).alias("others"))
+    near = near.select("node", "comp", F.explode("others").alias("o")).filter("o.comp <> comp").select(F.least("node", F.col("o.node")).alias("a"), F.greatest("node", F.col("o.node")).alias("b"))
+    return stars.union(verified(pairs.union(near)))
 
 
 def radius_for(similarity: float, lanes: int) -> int:
