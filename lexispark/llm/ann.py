@@ -71,6 +71,19 @@ def walk(q: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarra
             heappush(heap, (da[ia[i + 1]] + db[ib[0]], i + 1, 0))
 
 
+def bundled(counts: np.ndarray, n_blocks: np.ndarray) -> np.ndarray:
+    """The bundle of each cell (its first, if it has several blocks): neighbouring cells share one of MEMBERS
+    vectors at most, so that a query brings back its best of a bundle, not of every cell."""
+    out, at, held = np.zeros(len(counts), np.int32), 0, 0
+    for cell, (n, blocks) in enumerate(zip(counts, n_blocks, strict=True)):
+        if held and (blocks > 1 or held + n > MEMBERS):
+            at, held = at + 1, 0
+        out[cell], held = at, held + n
+        if blocks > 1:
+            at, held = at + int(blocks), 0
+    return out
+
+
 def best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the k best rows of x: places and scores, nearest first, ties to the smaller id. The
     scores of those kept are summed anew one by one, so that they don't hang on the shape of a block."""
@@ -123,18 +136,28 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
 
     slots = max(1, -(-n_asked // QUERIES))
     probes = asked.select(F.col("e").alias("q"), "v", F.pmod(F.xxhash64("e", F.lit(3)), F.lit(slots)).cast("int").alias("slot"), F.explode(cells_for("v")).alias("cell"))
-    blocks = F.lit(np.maximum(1, -(-counts // MEMBERS)).astype(np.int32))
+    n_blocks = np.maximum(1, -(-counts // MEMBERS)).astype(np.int32)
+    blocks, bundles = F.lit(n_blocks), F.lit(bundled(counts, n_blocks))
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
     members = index.select("e", "v", "cell", F.pmod(F.xxhash64("e", F.lit(4)), blocks[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "e": [], "score": []}).astype({"q": "int64", "e": "int64"})
-        ids = right["e"].to_numpy()
-        places, scores = best(matrix(left["v"]), ids, matrix(right["v"]), k + 1)
-        return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), places.shape[1]), "e": ids[places].ravel(), "score": scores.ravel()})
-
-    keys = ["cell", "slot", "block"]
+        parts, own = [], right.groupby("cell").indices
+        for cell, asking in left.groupby("cell").indices.items():
+            if cell in own:
+                q, ids = left.iloc[asking], right["e"].to_numpy()[own[cell]]
+                places, scores = best(matrix(q["v"]), ids, matrix(right["v"].iloc[own[cell]]), k + 1)
+                parts.append(pd.DataFrame({"q": np.repeat(q["q"].to_numpy(), places.shape[1]), "e": ids[places].ravel(), "score": scores.ravel()}))
+        if not parts:
+            return rerank(left[:0], right)
+        out = pd.concat(parts).sort_values(["q", "score", "e"], ascending=[True, False, True])
+        return out.groupby("q").head(k + 1)
+
+    keys = ["slot", "bundle"]
+    bundle = (bundles[F.col("cell")] + F.col("block")).alias("bundle")
+    probes, members = probes.select("q", "v", "cell", "slot", bundle), members.select("e", "v", "cell", "slot", bundle)
     found = probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(rerank, "q bigint, e bigint, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "e")
     found = tables.keep(found.withColumn("at", F.row_number().over(nearest)).filter(F.col("at") <= k + 1).drop("at"))
