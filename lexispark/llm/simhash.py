@@ -195,27 +195,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = Tables(docs.sparkSession)
     made = tables.keep(docs.select(F.col(id_col).alias("id"), fingerprint_udf(shingle, lanes)(F.col(text_col)).alias("fp")))
-    return grouped(tables, made, lanes, radius).withColumnRenamed("id", id_col)
+    return grouped(tables, made, lanes, radius).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def grouped(tables: Tables, made: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Adds component_id to rows (id, fp)."""
+    """Adds component_id, and comp, the key of the group, to rows (id, fp); other columns stay."""
     node = F.col("fp")[0] if lanes == 1 else F.xxhash64(F.slice("fp", 1, lanes))
     made = made.withColumn("node", node)
     fps = tables.keep(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("least")))
     comps = components(tables, links(tables, fps, lanes, radius))
     member = fps.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     groups = member.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = member.join(groups, "comp").select("node", "component_id")
-    return made.join(named, "node").select("id", "fp", "component_id")
+    named = member.join(groups, "comp").select("node", "comp", "component_id")
+    return made.join(named, "node").drop("node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the group's smallest id (of rows with equal ids
-    the one of smallest text, of equal rows one). Rows with a null id stand for their group only if all of its ids are null."""
-    own = docs.drop("_fp", "_rank")
-    found = near_duplicates(own, id_col, text_col, shingle, lanes, radius_for(similarity, lanes))
-    chosen = found.select(F.col("component_id").alias("_keep"), F.col(id_col).alias("_id")).filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_id").distinct()
-    left = own.join(chosen.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    return left.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
+    the one of smallest text hash, of equal rows one), whatever its ids are: null ids come last, and neither they nor repeated
+    ids with different texts join groups. Rows are told apart by id and text hash."""
+    own, tables = docs.drop("_id", "_th", "_t", "_comp", "_rank"), Tables(docs.sparkSession)
+    th = F.xxhash64(text_col)
+    made = tables.keep(own.select(F.col(id_col).alias("id"), th.alias("th"), fingerprint_udf(shingle, lanes)(F.col(text_col)).alias("fp")))
+    found = grouped(tables, made, lanes, radius_for(similarity, lanes))
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best"))
+    best = best.select(F.col("comp").alias("_comp"), F.col("best.id").alias("_id"), F.col("best.th").alias("_t"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
+    left = own.withColumn("_th", th).join(best.hint("merge"), same)
+    first = F.row_number().over(Window.partitionBy("_comp").orderBy("_th"))
+    return left.withColumn("_rank", first).filter("_rank = 1").select(*own.columns)

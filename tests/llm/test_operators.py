@@ -222,6 +222,15 @@ def test_keep_one_catches_similar_texts(spark):
     assert {900} == set(kept) - set(range(120))  # texts without words are one group
 
 
+def test_keep_one_keeps_one_of_each_group_whatever_its_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(60)) for _ in range(40)]
+    rows = [(None, t) for t in texts[:30]] + [(5, t) for t in texts[30:36]] + [(None, texts[0]), (5, texts[30]), (7, texts[1]), (8, texts[36]), (9, texts[36])]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(None, texts[0]), (7, texts[1]), *[(None, t) for t in texts[2:30]], *[(5, t) for t in texts[30:36]], (8, texts[36])]
+    assert got == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(500, 500)]
