@@ -14,6 +14,9 @@ fingerprints enter a second table under every value of the ball of radius 2 arou
 Two such balls share a value exactly if the fingerprints differ in at most 4 bits, so linking each to the
 smallest fingerprint under the same value gives the same groups, with a number of rows linear in the
 fingerprints.
+
+With several lanes no such ball reaches far enough. There the pairs of a crowded bucket are compared in blocks, a
+row for two blocks, unless they are in one group already.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import Tables, components
 
-#: The largest bucket whose fingerprints are compared in pairs; beyond it the linear way is taken.
+#: The largest bucket whose fingerprints are compared in pairs of rows; beyond it the linear way is taken, or blocks.
 PAIRED = 64
+#: Fingerprints of a block, on average.
+BLOCK = 256
 #: Bits of a segment that flip where there are several lanes.
 WEAK = 16
 SEED = 42
@@ -124,8 +129,8 @@ def segment_keys(fps: DataFrame, lanes: int) -> DataFrame:
 def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Edges (a, b) between nodes of fps (node long, fp array<bigint>) that give the groups of all pairs within
     radius. For one lane, where the node is the fingerprint, this is exact at radius 4. With more lanes two
-    fingerprints are compared if some segment differs in at most 2 bits, close calls of one and the other; in
-    buckets above PAIRED each is compared with the smallest, and with the first and the next in an order of the bucket's own."""
+    fingerprints are compared if some segment differs in at most 2 bits, close calls of one and the other, however
+    large the bucket is."""
     if lanes == 1 and radius != 4:
         raise ValueError("with one lane the radius is 4: balls of radius 2 meet up to a distance of 4")
     met = segment_keys(fps, lanes).withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1")
@@ -166,14 +171,48 @@ def starred(tables: Tables, fps: DataFrame, met: DataFrame, lanes: int, radius:
     more = more.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).filter("low <> high")
     more = tables.keep(more.select("key", "node", "flip", "met", "comp"))
     a, b = (more.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "flip", "comp")]) for side in "ab")
-    # Equal segments meet under every flip; the pair is taken without one.
+    # Equal segments meet under every flip; the pair is taken without one, where all pairs are compared too.
     once = (F.col("flip_a") != F.col("flip_b")) | (F.col("flip_a") == 0)
     pairs = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    order = bucket.orderBy(F.xxhash64("node", "key"), "node")
-    other = lambda column: F.struct(column("node").over(order).alias("node"), column("comp").over(order).alias("comp"))
-    near = more.filter(F.col("met") > PAIRED).select("node", "comp", F.array(other(F.first), other(F.lag)).alias("others"))
-    near = near.select("node", "comp", F.explode("others").alias("o")).filter("o.comp <> comp").select(F.least("node", F.col("o.node")).alias("a"), F.greatest("node", F.col("o.node")).alias("b"))
-    return stars.union(verified(pairs.union(near)))
+    return stars.union(verified(pairs)).union(crossed(more.filter(F.col("met") > PAIRED), fps, lanes, radius))
+
+
+def crossed(crowded: DataFrame, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Edges (a, b) within the radius between groups that meet in crowded buckets (key, node, met, comp): for two blocks
+    of a bucket, one of each two groups, which join no more by the others. All pairs are compared but those within the group of
+    the bucket's smallest node, which is mostly by far the largest: one side leaves it out."""
+    hub = F.min_by("comp", "node").over(Window.partitionBy("key"))
+    count = F.ceil(F.col("met") / BLOCK).cast("int")
+    rows = crowded.withColumns({"hub": hub, "count": count, "block": F.pmod(F.xxhash64("node", "key"), count).cast("int")})
+    rows = rows.join(fps.select("node", F.slice("fp", 1, lanes).alias("fp")), "node")
+
+    def blocks(some: DataFrame, side: str) -> DataFrame:
+        found = some.groupBy("key", "block", "count").agg(F.collect_list(F.struct("node", "comp", "fp")).alias("m"))
+        return found.select("key", "block", "count", *[x.alias(f"{c}_{side}") for c, x in (("node", F.col("m.node")), ("comp", F.col("m.comp")), ("fp", F.flatten("m.fp")))])
+
+    # Each block of the outer ones goes to every block of its bucket, dealt by bucket and block.
+    outer = blocks(rows.filter("comp <> hub"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
+    both = outer.join(blocks(rows, "b").drop("count"), ["key", "block"])
+    columns = [f"{c}_{side}" for side in "ab" for c in ("node", "comp", "fp")]
+    return both.select(F.explode(near_pairs(lanes, radius)(*columns)).alias("e")).select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
+
+
+def near_pairs(lanes: int, radius: int):
+    """A column function from two blocks (nodes, groups, fingerprints end to end) to a pair within the radius for each
+    two groups that have one."""
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def pairs(node_a: pd.Series, comp_a: pd.Series, fp_a: pd.Series, node_b: pd.Series, comp_b: pd.Series, fp_b: pd.Series) -> pd.Series:
+        out = []
+        for na, ca, fa, nb, cb, fb in zip(node_a, comp_a, fp_a, node_b, comp_b, fp_b, strict=True):
+            fa, fb = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, lanes) for x in (fa, fb))
+            apart = sum(np.bitwise_count(fa[:, None, k] ^ fb[None, :, k]).astype(np.int16) for k in range(lanes))
+            i, j = np.nonzero((apart <= radius) & (np.asarray(ca)[:, None] != np.asarray(cb)[None, :]))
+            found = {(ca[x], cb[y]): (na[x], nb[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+            out.append([{"a": int(x), "b": int(y)} for x, y in found.values()])
+        return pd.Series(out, dtype=object)
+
+    return pairs
 
 
 def radius_for(similarity: float, lanes: int) -> int:

@@ -222,6 +222,22 @@ def test_keep_one_catches_similar_texts(spark):
     assert {900} == set(kept) - set(range(120))  # texts without words are one group
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """600 fingerprints in one bucket, 300 pairs that are near and share no other."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        fp = [rng.getrandbits(64) for _ in range(8)]
+        fp[0] = fp[0] >> 32 << 32 | 7
+        twin = [x ^ 0b1110 << 32 ^ (0b1110 if k else 0) for k, x in enumerate(fp)]
+        rows += [(2 * i, [simhash.signed(x) for x in fp] + [0] * 8), (2 * i + 1, [simhash.signed(x) for x in twin] + [0] * 8)]
+    rng.shuffle(rows)
+    tables = Tables(spark)
+    fps = tables.keep(spark.createDataFrame(rows, "node long, fp array<long>"))
+    got = {(r.a, r.b) for r in simhash.links(tables, fps, 8, 85).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
 def test_keep_one_keeps_one_of_each_group_whatever_its_ids(spark):
     rng = random.Random(11)
     texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(60)) for _ in range(40)]
