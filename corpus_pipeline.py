@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import lines, mixing, quality, sentencepiece, simhash
-from lexispark.llm.common import Tables, filter_after
+from lexispark.llm import lines, mixing, passages, quality, sentencepiece, simhash
+from lexispark.llm.common import WORD, Tables, filter_after
 from lexispark.llm.queries import MODEL
 
 
@@ -18,9 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of 50 words or more that stand earlier; documents of which nothing is left go. n_chars
-    follows the text."""
-    out = filter_after(lines.dedup(docs), ~((F.col("cut_lines") > 0) & (F.trim("text") == "")))
+    """Texts without runs of 50 words or more that stand earlier, first whole lines of them, then passages within lines;
+    documents of which nothing is left go. n_chars follows the text."""
+    out = filter_after(lines.dedup(docs), ~((F.col("cut_lines") > 0) & (F.trim("text") == ""))).select(*docs.columns)
+    found = passages.dedup(Tables(spark).keep(out))
+    out = filter_after(found, (F.col("cut_words") == 0) | F.col("text").rlike(WORD))
     return out.select(*[(F.length("text").cast("bigint") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
 
 

@@ -53,11 +53,16 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFram
     start = F.struct("id", "th", "first")
     firsts = met.groupBy("span").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("span", "a")
     later = met.join(firsts, "span").filter(start != F.col("a")).select("id", "th", "first", "last").distinct()
+    return tables.keep(islands(later))
+
+
+def islands(later: DataFrame) -> DataFrame:
+    """(id, th, cuts): the stretches (first, last) of each text, joined where they meet, in order."""
     w = Window.partitionBy("id", "th").orderBy("first", "last")
     reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.coalesce(F.col("first") > F.col("reach") + 1, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    islands = later.withColumn("reach", reach).withColumn("island", island).groupBy("id", "th", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return tables.keep(islands.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts")))
+    joined = later.withColumn("reach", reach).withColumn("island", island).groupBy("id", "th", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexispark.llm import ann, chat, lines, mixing, quality, sentencepiece, sharding, simhash, toxicity, urls
+from lexispark.llm import ann, chat, lines, mixing, passages, quality, sentencepiece, sharding, simhash, toxicity, urls
 from lexispark.llm.common import Tables, components
 
 WORDS = "the of and to in is that was for it with on are this by red green blue tree house river stone cloud bird table chair window door light dark sun moon star".split()
@@ -303,6 +303,49 @@ def test_line_dedup_edges(spark, docs, rows):
     assert sorted(r.text for r in lines.dedup(same).collect()) == sorted(["", long, long, "other"])
 
 
+def passages_by_force(docs, least):
+    """Texts without the words of every window that equals one that starts earlier."""
+    seen, out = set(), {}
+    for i, t in sorted(docs.items()):
+        w, gone = words(t), set()
+        for k in range(len(w) - least + 1):
+            window = tuple(w[k : k + least])
+            if window in seen:
+                gone |= set(range(k, k + least))
+            seen.add(window)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_passages_within_lines_equal_brute_force(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fresh(93)
+    texts = {1: " ".join(fresh(300) + shared + fresh(400)), 2: " ".join(fresh(5)) + "\n" + " ".join(fresh(700) + shared + fresh(7)) + "\n" + " ".join(fresh(9))}
+    texts |= {3: " ".join(fresh(40) + shared[:50] + fresh(20) + shared[43:] + fresh(3)), 4: " ".join(fresh(8) + shared[:49] + fresh(8)), 5: " ".join(shared), 6: " ".join(x := fresh(60)) + " and " + " ".join(x)}
+    texts |= {i: " ".join(rng.choice("ab") for _ in range(rng.randrange(120))) for i in range(10, 30)} | {40: "", 41: " \n x  " + " ".join(shared) + "  y"}
+    for least in (50, 12):
+        docs = spark.createDataFrame([*texts.items(), (1, texts[1]), (50, None)], "doc_id long, text string")
+        rows = passages.dedup(docs, least=least).collect()
+        got = {r.doc_id: r.text for r in rows}
+        assert len(rows) == len(texts) + 2 and got.pop(50) is None
+        assert {i: words(t) for i, t in got.items()} == passages_by_force(texts, least)
+        assert all(r.cut_words == len(words(texts.get(r.doc_id))) - len(words(r.text)) for r in rows)
+    assert got[41] == " \n x  y" and got[5] == ""
+
+
+def test_pipeline_cuts_passages_within_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = fresh(93)
+    a, b, c = f"{fresh(60)} {shared} {fresh(60)}", fresh(70), fresh(80)
+    docs = spark.createDataFrame([(1, a, 1), (2, f"{b} {shared}\n{c}", 1), (3, shared, 1)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: (a, len(a)), 2: (f"{b} \n{c}", len(b) + len(c) + 2)}
+
+
 # 6
 
 
