@@ -37,10 +37,14 @@ def window_marks(text: Column, least: int) -> tuple[Column, Column]:
         steps.append(min(reach, least - gram + 1 - reach))
         reach += steps[-1]
 
+    def smaller(step: int) -> Callable[[Column], Column]:
+        # The lambda has one parameter: transform would take a second one for the index.
+        return lambda m: F.zip_with(m, F.slice(m, 1 + step, F.size(m)), lambda x, y: F.least(x, y))
+
     def shrunk(hashes: Column) -> Column:
         out = hashes
         for step in steps:
-            out = let(out, lambda m, step=step: F.zip_with(m, F.slice(m, 1 + step, F.size(m)), lambda x, y: F.least(x, y)))
+            out = let(out, smaller(step))
         return let(out, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (least - gram), F.lit(0))))
 
     both = let(grams, lambda g: F.struct(shrunk(g).alias("marks"), (F.size(F.array_distinct(g)) < F.size(g)).alias("twice")))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexispark.llm import ann, chat, lines, mixing, passages, quality, sentencepiece, sharding, simhash, toxicity, urls
 from lexispark.llm.common import Tables, components
@@ -334,6 +335,13 @@ def test_passages_within_lines_equal_brute_force(spark):
     assert got[41] == " \n x  y" and got[5] == ""
 
 
+def test_passages_have_few_marks(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    marks, twice = passages.window_marks(F.col("text"), 50)
+    row = spark.createDataFrame([(text,)], "text string").select(marks.alias("marks"), twice.alias("twice")).first()
+    assert len(row.marks) == 4951 and not row.twice and 150 < len(set(row.marks)) < 350
+
+
 def test_pipeline_cuts_passages_within_lines(spark):
     import corpus_pipeline
 
