@@ -118,7 +118,8 @@ def joined_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig =
     found = places.join(named, "_stem").filter(F.startswith("_ahead", F.col("norm_name")))
     found = found.select(id_col, "_row", "pattern_id", (F.col("_at") - 1).alias("norm_start"), (F.col("_at") - 1 + F.length("norm_name")).alias("norm_end")).distinct()
     per_row = found.groupBy(id_col, "_row").agg(F.collect_list(F.struct("norm_end", (F.col("norm_start") - F.col("norm_end")).alias("less"), "pattern_id", "norm_start")).alias("_found"))
-    placed = rows.drop("_norm").join(per_row, [id_col, "_row"]).select(id_col, located("unicode" if config.normalize == "unicode" else "none")("_source", F.sort_array("_found")).alias("mentions"))
+    per_row = per_row.select(F.col(id_col).alias("_of"), F.col("_row").alias("_of_row"), "_found")
+    placed = rows.drop("_norm").join(per_row, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))).select(id_col, located("unicode" if config.normalize == "unicode" else "none")("_source", F.sort_array("_found")).alias("mentions"))
     return placed.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
 
 

@@ -67,6 +67,13 @@ def test_join_equals_automaton(spark):
     assert key(match.mentions(docs, p, MatchConfig(min_bytes=2, max_broadcast=0))) == key(match.mentions(docs, p, c))
 
 
+def test_join_keeps_mentions_of_null_ids(spark):
+    p = names.prepare(names_df(spark, [("abc", "t")]), MatchConfig(min_bytes=2))
+    docs = spark.createDataFrame([(None, "x abc"), (None, "abc abc"), (1, "abc")], "doc_id long, text string")
+    found = match.joined_mentions(docs, p, MatchConfig(min_bytes=2)).select("doc_id", "token_num", "norm_start").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(None, 0, 2), (None, 0, 0), (None, 1, 4), (1, 0, 0)], key=str)
+
+
 def golden(spark):
     """Names between runs of `good `, and documents of a line end only, by a fixed seed."""
     rng = random.Random(7)
