@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,18 +23,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def tucked(df: DataFrame, **used: str) -> DataFrame:
+    """The columns that an operator works on, under its own names (own name = name in df), and all others in one struct `row`,
+    so that none of their names meets one that the operator makes."""
+    rest = [quoted(c) for c in df.columns if c not in used.values()]
+    return df.select(*[quoted(c).alias(own) for own, c in used.items()], (F.struct(*rest) if rest else F.lit(True)).alias("row"))
+
+
+def untucked(columns: list[str], **used: str) -> list[Column]:
+    """The columns that tucked was given, in their order, to be selected."""
+    own = {c: name for name, c in used.items()}
+    return [(F.col(own[c]) if c in own else F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def filter_after(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter(condition), but evaluated on the columns as computed. The optimizer would push the filter below their
-    projections and copy their expressions into it, into lambdas as well; it doesn't where the filter hangs on a row number."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+    projections and copy their expressions into it, into lambdas as well; it doesn't where the filter hangs on a row number.
+    The number's name is one that df does not have."""
+    number = "_row"
+    while number in map(str.lower, df.columns):
+        number = f"_{number}"
+    return df.withColumn(number, F.monotonically_increasing_id()).filter(condition & (F.col(number) >= 0)).drop(number)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (as in
-    tests on one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset and Spark runs on
+    one machine, as in tests, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp("-checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -51,6 +77,17 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_part(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes df as one more part of a table and returns this part."""
+        self.count += 1
+        path = f"{self.root}/{name}/{self.count:06d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def parts(self, name: str, schema) -> DataFrame:
+        """All parts of a table."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
+
 
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, comp) for each node that has an edge,
