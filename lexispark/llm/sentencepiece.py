@@ -3,41 +3,48 @@
 The lattice has a node at every character boundary and an edge for every piece of the vocabulary that fits
 (characters without a piece become byte pieces). Each node keeps one backpointer: the last piece of the best
 segmentation of the text up to it. An edge can only start at most the longest piece before it ends, so a
-window of that length is retained. Whenever the backpointer paths of all nodes in the window meet in one
-boundary, the ids before it are final and committed.
+window of that length is retained. Whenever it is full and the backpointer paths of all nodes in it meet in one
+boundary, the ids before that are final and committed.
 
 For a unigram model the best path has the largest sum of scores. A model of the BPE type orders its merges
 by score instead: its segmentation is the only one in which every two neighbours stay apart when their text
 is merged on its own. So a path may be extended by a piece if the piece and the path's last piece are such
 neighbours, and exactly one edge into each node qualifies. Both kinds run through the same window.
 
-Pieces don't reach over the start of a word mark that follows another character, so a text also falls apart
-there; words of some texts are looked up together, in order, and a bounded cache keeps their ids.
+No piece of most models reaches over the start of a word mark that follows another character. There a single node survives, all
+paths converge, and the window starts empty: what is committed for the stretch up to the next such boundary
+hangs on that stretch alone. So the stretches of some texts go through the window together, in order, those with
+equal beginnings sharing their nodes, and a bounded memo keeps the ids of each.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.functions.worker import once
+
+from .common import tucked, untucked
+
 MARK = "▁"
 BPE = 2
-#: Characters of text whose words are looked up together, and the longest word that is not streamed.
-CHARACTERS, WORD = 1_000_000, 64
+#: Characters of text whose stretches go through the window together.
+CHARACTERS = 1_000_000
+#: The longest stretch of which the ids are remembered beyond that.
+KEPT = 64
 #: Texts that are Python objects at a time.
 SLICE = 250
 
 
 class Codec:
-    """Encoder and decoder of one model file. cache: the number of words, and half of it of pairs of pieces, beyond
-    which what is known of them is forgotten."""
+    """Encoder and decoder of one model file. cache: the number of stretches and of pairs of pieces beyond which what is known
+    of them is forgotten."""
 
-    def __init__(self, content: bytes, cache: int = 200_000):
+    def __init__(self, content: bytes, cache: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=content)
@@ -57,42 +64,46 @@ class Codec:
         self.strings = [chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids), default=1)
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        #: Stretches that no piece leaves: a run of marks with what follows it up to the next mark.
-        self.words = None if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        #: Stretches that no piece leaves: a run of marks with what follows it up to the next mark. Else whole texts.
+        self.stretches = None if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs, self.n_pairs = {}, 0
-        self.parts = lru_cache(None)(self.last_merge)  # of pieces of the vocabulary only
+        self.merged: dict[str, tuple[str, str]] = {}  # of pieces of the vocabulary only
         self.known: dict[str, bytes] = {}
         self.cache = cache
 
-    def last_merge(self, piece: str) -> tuple[str, str]:
+    def parts(self, piece: str) -> tuple[str, str]:
         """The two parts of which merging makes a piece last; best score first, then leftmost."""
-        parts = list(piece)
-        while len(parts) > 2:
-            k = min(range(len(parts) - 1), key=lambda i: (self.order.get(parts[i] + parts[i + 1], np.inf), i))
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts[0], parts[1]
+        if piece not in self.merged:
+            parts = list(piece)
+            while len(parts) > 2:
+                k = min(range(len(parts) - 1), key=lambda i: (self.order.get(parts[i] + parts[i + 1], np.inf), i))
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            self.merged[piece] = (parts[0], parts[1])
+        return self.merged[piece]
 
     def stay_apart(self, a: str, b: str) -> bool:
         """Whether merging the text a + b on its own gives a, b: no merge over the boundary may be due before
         the merges that make a and b. These are undone from the last to the first; at each step the parts at
         the boundary must not merge before the merge just undone. Of two equal merges the left one is due first."""
-        left, right, due = a, b, np.inf
-        while self.order.get(left + right, np.inf) >= due or left + right not in self.order:
-            made_left, made_right = (self.order[x] if len(x) > 1 else -1.0 for x in (left, right))
-            if len(left) == len(right) == 1:
+        order, left, right, due = self.order, a, b, np.inf
+        while True:
+            over = order.get(left + right)
+            if over is not None and over < due:
+                return False
+            made_left = order[left] if len(left) > 1 else -1.0
+            made_right = order[right] if len(right) > 1 else -1.0
+            if made_left == made_right == -1.0:
                 return True
             if made_left > made_right:
                 left, due = self.parts(left)[1], made_left
             else:
                 right, due = self.parts(right)[0], made_right + 0.5
-        return False
 
     def edge(self, text: str, at: int, back: list, base: int) -> tuple[str, float]:
         """The last piece of the best path to boundary `at`, and the path's score (0 for BPE)."""
-        ids, lowest = self.ids, max(base, at - self.longest)
         if not self.bpe:
-            score, best = self.score, ("", -np.inf)
-            for start in range(at - 1, lowest - 1, -1):
+            ids, score, best = self.ids, self.score, ("", -np.inf)
+            for start in range(at - 1, max(base, at - self.longest) - 1, -1):
                 piece = text[start:at]
                 if piece in ids or start == at - 1:
                     total = back[start - base][1] + score.get(piece, -1e6)
@@ -100,10 +111,24 @@ class Codec:
                         best = (piece, total)
             return best
         # One edge qualifies; that which makes the last piece one character longer is the likeliest.
-        pairs, likely = self.pairs, at - 1 - len(back[at - 1 - base][0])
-        for start in (likely, *range(at - 1, lowest - 1, -1)):
+        start, tried = at - 1 - len(back[at - 1 - base][0]), -1
+        if start >= base:
+            piece = text[start:at]
+            if piece in self.ids:
+                tried, last = start, back[start - base][0]
+                if not last:
+                    return piece, 0.0
+                apart = self.pairs[last].get(piece) if last in self.pairs else None
+                if apart or apart is None and self.apart(last, piece):
+                    return piece, 0.0
+        return self.other_edge(text, at, back, base, tried)
+
+    def other_edge(self, text: str, at: int, back: list, base: int, but: int) -> tuple[str, float]:
+        """The edge that qualifies in a BPE lattice, shorter pieces first; none starts at `but`."""
+        ids, pairs = self.ids, self.pairs
+        for start in range(at - 1, max(base, at - self.longest) - 1, -1):
             piece = text[start:at]
-            if start >= lowest and (piece in ids or start == at - 1):
+            if start != but and (piece in ids or start == at - 1):
                 last = back[start - base][0]
                 if not last:
                     return piece, 0.0
@@ -119,26 +144,24 @@ class Codec:
         known = after.get(b)
         if known is None:
             self.n_pairs += 1
-            if self.n_pairs > self.cache // 2:
+            if self.n_pairs > self.cache:
                 self.pairs, self.n_pairs = {}, 0
             known = after[b] = self.stay_apart(a, b)
         return known
 
-    def stream(self, text: str):
-        """Yields committed runs of pieces of a text."""
+    def stream(self, text: str, back: list | None = None):
+        """Yields committed runs of pieces of a stretch. back: its first nodes, one a character and one for the begin, no
+        more than fit into a window; they are changed."""
         far, edge, end = self.longest, self.edge, len(text)
-        back = [("", 0.0)]  # of boundary base + k: last piece, sum of scores
-        base = since = 0
-        for at in range(1, end + 1):
+        back, base = back or [("", 0.0)], 0
+        for at in range(len(back), end + 1):
             back.append(edge(text, at, back, base))
-            since += 1
-            if at == end or since >= 4 * far:
-                since = 0
-                meet = at if at == end else self.meeting(back, base, at)
+            if at - base > far and at < end:
+                meet = self.meeting(back, base, at)
                 if meet > base:
                     yield self.path(back, meet - base)
-                    back = back[meet - base :]
-                    base = meet
+                    back, base = back[meet - base :], meet
+        yield self.path(back, end - base)
 
     def meeting(self, back: list, base: int, at: int) -> int:
         """The last boundary that the paths of all nodes within the longest piece of `at` share."""
@@ -154,45 +177,49 @@ class Codec:
         """The pieces of the path to back[at]."""
         run = []
         while at > 0:
-            run.append(back[at][0])
-            at -= len(run[-1])
-        return run[::-1]
-
-    def short(self, words: list[str]):
-        """Yields (word, ids) for sorted words that fit into a window; boundaries that a word shares with the
-        one before keep their backpointers."""
-        edge, codes, before, back = self.edge, self.codes, "", [("", 0.0, b"")]
-        for word in words:
+            piece = back[at][0]
+            run.append(piece)
+            at -= len(piece)
+        run.reverse()
+        return run
+
+    def committed(self, stretches: list[str]):
+        """Yields (stretch, ids) for sorted stretches; the first nodes that one shares with the one before stay."""
+        edge, path, numbered, far = self.edge, self.path, self.numbered, self.longest
+        before, back = "", [("", 0.0)]
+        for text in stretches:
             same = 0
-            for x, y in zip(word, before, strict=False):
-                if x != y:
+            for x, y in zip(text, before, strict=False):
+                if x != y or same == far:
                     break
                 same += 1
             del back[same + 1 :]
-            for at in range(same + 1, len(word) + 1):
-                piece, score = edge(word, at, back, 0)
-                back.append((piece, score, back[at - len(piece)][2] + (codes.get(piece) or self.numbered([piece]))))
-            before = word
-            yield word, back[-1][2]
+            before = text
+            if len(text) <= far:  # one window holds it: nothing is committed before its end
+                for at in range(same + 1, len(text) + 1):
+                    back.append(edge(text, at, back, 0))
+                yield text, numbered(path(back, len(text)))
+            else:
+                yield text, b"".join(map(numbered, self.stream(text, back[:])))
+                before = text[:same]
 
     def numbered(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte_of:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+        """The ids of pieces, 4 bytes each; those that are not in the vocabulary are single characters."""
+        codes = self.codes
+        try:
+            return b"".join([codes[p] for p in pieces])
+        except KeyError:
+            for p in set(pieces).difference(codes):
+                own = [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")] if self.byte_of else [self.unknown]
+                codes[p] = array("i", own).tobytes()
+            return b"".join([codes[p] for p in pieces])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for null and empty texts."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts) -> list[np.ndarray]:
-        """The ids of texts, CHARACTERS at a time; the words of these are looked up together."""
+        """The ids of texts, CHARACTERS at a time; their stretches are looked up together."""
         out, held, size = [], [], 0
         for text in texts:
             held.append(text)
@@ -204,18 +231,16 @@ class Codec:
 
     def encode_some(self, texts) -> list[np.ndarray]:
         marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
-        lists = [self.words.findall(t) if self.words else [t] * bool(t) for t in marked]
+        lists = [self.stretches.findall(t) if self.stretches else [t] * bool(t) for t in marked]
         if len(self.known) > self.cache:
             self.known = {}
         known = self.known
-        new = set().union(*lists).difference(known)
-        long = {w for w in new if len(w) > WORD}
-        known.update(self.short(sorted(new - long)))
-        for w in long:
-            known[w] = b"".join(map(self.numbered, self.stream(w)))
-        out = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in lists]
-        for w in long:
-            del known[w]
+        new = sorted(set().union(*lists).difference(known))
+        known.update(self.committed(new))
+        out = [np.frombuffer(b"".join([known[x] for x in own]), np.int32) for own in lists]
+        for x in new:
+            if len(x) > KEPT:
+                del known[x]
         return out
 
     def decode(self, ids) -> str:
@@ -253,9 +278,9 @@ def kind(content: bytes) -> tuple[bool, bool]:
     return model.trainer_spec.model_type == BPE, spec.add_dummy_prefix
 
 
-@lru_cache(4)
 def codec(content: bytes) -> Codec:
-    return Codec(content)
+    """Made once per worker and model."""
+    return once(("codec", content), lambda: Codec(content))
 
 
 def read_model(spark, path: str) -> bytes:
@@ -296,7 +321,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids: str = "id
 
 def encode_checked(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """docs with ids and round_trip: whether decoding them gives the text again (literal word marks as blanks).
-    Otherwise as encode."""
+    Columns of these names are replaced; otherwise as encode."""
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def encoded(texts):
@@ -304,8 +329,9 @@ def encode_checked(docs: DataFrame, model: bytes, text_col: str = "text") -> Dat
 
         return pa.StructArray.from_arrays(in_slices(texts, model, True), ["ids", "round_trip"])
 
-    made = docs.withColumn("_both", encoded(F.col(text_col)))
-    return made.withColumns({"ids": F.col("_both.ids"), "round_trip": F.col("_both.round_trip")}).drop("_both")
+    made = tucked(docs, text=text_col).withColumn("both", encoded(F.col("text")))
+    own = [c for c in docs.columns if c not in ("ids", "round_trip")]
+    return made.select(*untucked(own, text=text_col), "both.ids", "both.round_trip")
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", text: str = "text") -> DataFrame:
