@@ -20,14 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, Tables
+from .common import GAP, Tables, tucked, untucked
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, th, first, last, span, mark, at): the spans of each text, their first and last line, their hash,
-    and the hash and line of their fingerprint. Repeated rows (equal id and text) give their spans once."""
-    text = F.col(text_col)
-    lines = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+def spans(docs: DataFrame, least: int) -> DataFrame:
+    """(id, th, first, last, span, mark, at) from rows (id, text, th): the spans of each text, their first and last line, their
+    hash, and the hash and line of their fingerprint. Repeated rows (equal id and text) give their spans once."""
+    lines = docs.filter("text is not null").select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     trimmed = F.regexp_replace("line", f"^{GAP}", "")
     lines = lines.withColumn("n", F.size(F.split(trimmed, f"{GAP}(?!$)")) * (trimmed != "").cast("int")).filter("n > 0")
     lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.col("n").cast("bigint").alias("n")).repartition(F.col("id"), F.col("th"))
@@ -43,10 +42,10 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     return out[0].union(out[1])
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, th, cuts): the stretches of lines to delete from each text that has any, in order."""
+def repeats(docs: DataFrame, least: int) -> DataFrame:
+    """(id, th, cuts): the stretches of lines to delete from each text (id, text, th) that has any, in order."""
     tables = Tables(docs.sparkSession)
-    found = tables.keep(spans(docs, id_col, text_col, least))
+    found = tables.keep(spans(docs, least))
     place = F.struct("id", "th", "at")
     marks = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("mark")
     met = found.join(marks, "mark", "left_semi")
@@ -71,18 +70,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     A text of which every line goes becomes empty. Null and empty texts stay as they are. Repeated rows are
     one document and keep their lines, but those that repeat within it or from an earlier one. Rows with one
     id and different texts are documents of their own. Lines are compared by a 64-bit hash. An empty table
-    gives no rows; other columns pass through, but for columns named cut_lines, _th or _cuts, which go.
+    gives no rows; other columns pass through, whatever their names, but a column cut_lines, which is replaced.
     """
-    own = docs.drop("cut_lines", "_th", "_cuts")
-    found = repeats(own, id_col, text_col, least).select(F.col("id").alias("_id"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"))
-    keyed = own.withColumn("_th", F.xxhash64(text_col))
+    used = {"id": id_col, "text": text_col}
+    own = tucked(docs, **used).withColumn("th", F.xxhash64("text"))
+    found = repeats(own, least).select(F.col("id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
     # Sorted and merged at every size: what is cut grows with the corpus and is never broadcast.
-    joined = keyed.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda _, p: ~F.exists("_cuts", lambda c: (p >= c["first"]) & (p <= c["last"])))
-    cut = F.aggregate("_cuts", F.lit(0).cast("bigint"), lambda x, c: x + (c["last"] - c["first"] + 1))
-    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[(text if c == text_col else F.col(c)).alias(c) for c in own.columns], F.coalesce(cut, F.lit(0).cast("bigint")).alias("cut_lines"))
+    joined = own.join(found.hint("merge"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("th") == F.col("cut_th")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, p: ~F.exists("cuts", lambda c: (p >= c["first"]) & (p <= c["last"])))
+    cut = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda x, c: x + (c["last"] - c["first"] + 1))
+    joined = joined.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return joined.select(*untucked([c for c in docs.columns if c != "cut_lines"], **used), F.coalesce(cut, F.lit(0).cast("bigint")).alias("cut_lines"))
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import tucked, untucked, words
 
 
 def draw(id_col: Column, seed: int) -> Column:
@@ -23,7 +23,7 @@ def targets(sized: DataFrame, source_col: str = "source", weights=(5.0, 2.0, 1.0
     That is a water level x with target = least(limit * size, x * weight). With the sources sorted by the
     level at which they are full, the level after the first k are full is (total - their limits) / (weight of
     the others); it rises while the next source is overfull and falls after, so that x is its largest value.
-    The windows run over one row per source.
+    The windows run over one row per source, in one task: sources are the few parts of a mix, not hosts or authors.
     """
     sources = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -38,25 +38,32 @@ def targets(sized: DataFrame, source_col: str = "source", weights=(5.0, 2.0, 1.0
     return level.select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def mixed(docs: DataFrame, used: dict[str, str], seed: int, **how) -> DataFrame:
+    """Adds size, source_size, target and copies to rows (id, text, source, row)."""
+    sized = tucked(docs, **used).withColumn("size", F.size(words(F.col("text"))).cast("bigint"))
+    per_source = targets(sized, **how).withColumnRenamed("source", "of_source")
+    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return joined.withColumn("copies", F.floor(rate) + (draw(F.col("id"), seed) < rate - F.floor(rate)).cast("bigint"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
-    """docs with size (words), source_size, target (of its source) and copies: how often the mix takes it.
+    """docs with size (words), source_size, target (of its source) and copies: how often the mix takes it; columns of
+    these names are replaced, all others pass through.
 
     The rate of a source is target / source_size; a document is taken floor(rate) times, and once more if its
     draw is below the rest. Null texts have size 0; a null source is a source of its own; a source without
-    words has target 0. Repeated rows have equal draws. An empty table gives no rows. Columns named size,
-    source_size, target or copies are replaced.
+    words has target 0. Repeated rows have equal draws. An empty table gives no rows.
     """
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", F.size(words(F.col(text_col))).cast("bigint"))
-    per_source = targets(sized, source_col, **how).withColumnRenamed("source", "_source")
-    joined = sized.join(per_source, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("bigint")
-    return joined.withColumn("copies", copies)
+    used, made = {"id": id_col, "text": text_col, "source": source_col}, ("size", "source_size", "target", "copies")
+    return mixed(docs, used, seed, **how).select(*untucked([c for c in docs.columns if c not in made], **used), *made)
 
 
-def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
-    return mix(docs, **how).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of docs, whatever their names."""
+    used = {"id": id_col, "text": text_col, "source": source_col}
+    taken = mixed(docs, used, seed, **how).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*untucked(docs.columns, **used))
 
 
 ORACLE = r"""

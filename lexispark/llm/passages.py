@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Tables, words
+from .common import GAP, Tables, tucked, untucked, words
 from .lines import islands
 
 GRAM = 8
@@ -51,19 +51,18 @@ def window_marks(text: Column, least: int) -> tuple[Column, Column]:
     return both["marks"], both["twice"]
 
 
-def repeats(tables: Tables, docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, th, cuts): the stretches of words to delete from each text that has any, in order."""
-    text = F.col(text_col)
-    marks, twice = window_marks(text, least)
-    keyed = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+def repeats(tables: Tables, docs: DataFrame, least: int) -> DataFrame:
+    """(id, th, cuts): the stretches of words to delete from each text (id, text, th) that has any, in order."""
+    marks, twice = window_marks(F.col("text"), least)
+    keyed = docs.filter("text is not null").select("id", "th", "text")
     found = keyed.select("id", "th", let(F.struct(marks.alias("marks"), twice.alias("twice")), lambda s: F.struct(F.array_distinct(s["marks"]).alias("marks"), s["twice"].alias("twice"))).alias("s"))
     found = tables.keep(found.select("id", "th", "s.twice", F.explode("s.marks").alias("mark")))
     place = F.struct("id", "th")
     met = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("mark")
     shared = found.join(met, "mark", "left_semi").select("id", "th", "mark", F.lit(False).alias("twice"))
     shared = shared.union(found.filter("twice").select("id", "th", "mark", "twice"))
-    chosen = tables.keep(shared.groupBy("id", "th").agg(F.collect_set("mark").alias("chosen")).withColumnRenamed("id", "_id").withColumnRenamed("th", "_t"))
-    again = keyed.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_t"))).select("id", "th", "text", "chosen")
+    chosen = tables.keep(shared.groupBy("id", "th").agg(F.collect_set("mark").alias("chosen")).withColumnRenamed("id", "of_id").withColumnRenamed("th", "of_th"))
+    again = keyed.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))).select("id", "th", "text", "chosen")
     at = F.filter(F.transform(marks, lambda m, i: F.when(F.array_contains("chosen", m), i)), lambda i: i.isNotNull())
     windows = let(words(F.col("text")), lambda ws: F.transform(at, lambda i: F.struct(i.alias("first"), F.xxhash64(F.slice(ws, i + 1, least)).alias("window"))))
     windows = tables.keep(again.select("id", "th", F.explode(windows).alias("w")).select("id", "th", "w.first", "w.window"))
@@ -80,21 +79,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     The white space before a passage stays and that after it goes; a line end after it stays if none stands before. Words and
     windows are compared by 64-bit hashes. Null and empty texts stay as they are. Repeated rows are one document
     and keep what does not repeat within it or from an earlier one. Rows with one id and different texts are
-    documents of their own. Columns named cut_words, _th, _id, _t or _cuts go.
+    documents of their own. An empty table gives no rows; other columns pass through, whatever their names, but a column cut_words,
+    which is replaced.
     """
-    own, tables = docs.drop("cut_words", "_th", "_id", "_t", "_cuts"), Tables(docs.sparkSession)
-    found = repeats(tables, own, id_col, text_col, least).select(F.col("id").alias("_id"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"))
-    joined = own.withColumn("_th", F.xxhash64(text_col)).join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
+    used, tables = {"id": id_col, "text": text_col}, Tables(docs.sparkSession)
+    own = tucked(docs, **used).withColumn("th", F.xxhash64("text"))
+    found = repeats(tables, own, least).select(F.col("id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
+    joined = own.join(found.hint("merge"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("th") == F.col("cut_th")), "left")
 
     def kept(tokens: Column) -> Column:
         """Tokens are words with the white space after them."""
         ends = lambda t: F.contains(t, F.lit("\n"))
-        broken = lambda t, p: ends(t) & F.exists("_cuts", lambda c: (p == c["last"]) & (c["first"] > 0) & ~F.coalesce(ends(F.get(tokens, (c["first"] - 1).cast("int"))), F.lit(False)))
-        left = lambda t, p: F.when(~F.exists("_cuts", lambda c: (p >= c["first"]) & (p <= c["last"])), t).when(broken(t, p), F.lit("\n")).otherwise(F.lit(""))
+        broken = lambda t, p: ends(t) & F.exists("cuts", lambda c: (p == c["last"]) & (c["first"] > 0) & ~F.coalesce(ends(F.get(tokens, (c["first"] - 1).cast("int"))), F.lit(False)))
+        left = lambda t, p: F.when(~F.exists("cuts", lambda c: (p >= c["first"]) & (p <= c["last"])), t).when(broken(t, p), F.lit("\n")).otherwise(F.lit(""))
         return F.array_join(F.transform(tokens, left), "")
 
-    text = F.col(text_col)
+    text = F.col("text")
     tokens = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
-    cut = F.aggregate("_cuts", F.lit(0).cast("bigint"), lambda x, c: x + (c["last"] - c["first"] + 1))
-    new = F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(F.regexp_extract(text, f"^{GAP}", 0), let(tokens, kept)))
-    return joined.select(*[(new if c == text_col else F.col(c)).alias(c) for c in own.columns], F.coalesce(cut, F.lit(0).cast("bigint")).alias("cut_words"))
+    cut = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda x, c: x + (c["last"] - c["first"] + 1))
+    new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.regexp_extract(text, f"^{GAP}", 0), let(tokens, kept)))
+    return joined.withColumn("text", new).select(*untucked([c for c in docs.columns if c != "cut_words"], **used), F.coalesce(cut, F.lit(0).cast("bigint")).alias("cut_words"))

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import filter_after, tucked, untucked, words
 
 #: Frequent function words of English, French, German and Spanish. Fixed values.
 STOP_WORDS = (
@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: metric, least and greatest value allowed (None: no bound). A document fails if any metric is out of bounds.
 RULES = (
-    ("n_words", 20, 1_000_000),
+    ("n_words", 20, None),
     ("mean_word_chars", 2.0, 16.0),
     ("symbols_per_word", None, 0.1),
     ("stop_word_ratio", 0.02, None),
@@ -65,18 +65,20 @@ def repeated_words(df: DataFrame) -> DataFrame:
     return df.select(*rest, F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
 
 
-def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds one struct column `q` with the counts of each text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def metrics(docs: DataFrame) -> DataFrame:
+    """Adds one struct column `q` with the counts of each text to rows (text, row)."""
+    text = F.coalesce("text", F.lit(""))
     df = docs.select(
-        *docs.columns,
-        words(F.col(text_col)).alias("_w"),
+        "text",
+        "row",
+        words(F.col("text")).alias("_w"),
         F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias("_l"),
         (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("bigint").alias("_s"),
     )
     count = lambda x: F.size(x).cast("bigint")
     df = df.select(
-        *docs.columns,
+        "text",
+        "row",
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
         F.struct(
             count("_w").alias("n_words"),
@@ -90,7 +92,7 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ).alias("q"),
     )
     df = repeated_words(df)
-    return df.select(*docs.columns, F.col("q").withField("n_repeat_words", F.col("n_repeat_words")).alias("q"))
+    return df.select("text", "row", F.col("q").withField("n_repeat_words", F.col("n_repeat_words")).alias("q"))
 
 
 def compiled(q: str = "q", rules=RULES) -> Column:
@@ -110,17 +112,26 @@ def compiled(q: str = "q", rules=RULES) -> Column:
     return reduce(and_, tests, F.lit(True))
 
 
+def judged(docs: DataFrame, text_col: str, rules) -> DataFrame:
+    """(text, row, q, base_failed, kept)."""
+    failed = (F.col("q.n_words") < 20) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
+    return metrics(tucked(docs, text=text_col)).withColumn("base_failed", failed).withColumn("kept", ~failed & compiled("q", rules))
+
+
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """docs with `q` (counts), base_failed and kept.
+    """docs with `q` (counts), base_failed and kept; columns of these three names are replaced, all others pass through.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of 8 words. kept: not
     base_failed and every rule of the table holds. Null and empty texts have no words and fail. Repeated rows
-    are judged each; an empty table gives no rows; other columns pass through, but for columns named q,
-    base_failed, kept or n_repeat_words, which are replaced, and _w, _l, _s, _h, _g, _n, _r, _p, which go.
+    are judged each; an empty table gives no rows.
     """
-    own = docs.drop("q", "base_failed", "kept", "_w", "_l", "_s", "_h", "_g", "_n", "_r", "_p", "n_repeat_words")
-    failed = (F.col("q.n_words") < 20) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
-    return metrics(own, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compiled("q", rules))
+    made = ("q", "base_failed", "kept")
+    return judged(docs, text_col, rules).select(*untucked([c for c in docs.columns if c not in made], text=text_col), *made)
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of docs that judge keeps, with the columns of docs, whatever their names."""
+    return filter_after(judged(docs, text_col, rules), F.col("kept")).select(*untucked(docs.columns, text=text_col))
 
 
 ORACLE = rf"""
@@ -137,7 +148,7 @@ counts AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws,
     FROM w LEFT JOIN cover USING (doc_id)),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2.0 AND 16.0 AND n_symbols / n_words <= 0.1::DOUBLE AND n_stop / n_words >= 0.02::DOUBLE
+    NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 16.0 AND n_symbols / n_words <= 0.1::DOUBLE AND n_stop / n_words >= 0.02::DOUBLE
     AND n_dup_lines / n_lines <= 0.5::DOUBLE AND n_bullet / n_lines <= 0.9::DOUBLE AND n_ellipsis / n_lines <= 0.3::DOUBLE AS kept
 FROM failed
 """
