@@ -77,7 +77,7 @@ def link(chats: DataFrame, schemas=SCHEMAS) -> DataFrame:
     other columns are not read.
     """
     tables = Tables(chats.sparkSession)
-    rows = tables.keep(parts(chats, schemas).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).withColumn("uid", F.monotonically_increasing_id()))
+    rows = tables.keep(parts(chats, schemas).withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))).withColumn("uid", F.monotonically_increasing_id()))
     place = F.struct("turn", "part", "uid")
     tools = rows.filter("kind <> 'message' and call_id is not null")
     first = lambda kind: tools.filter(F.col("kind") == kind).groupBy("conv", "call_id").agg(F.min(place).alias(f"first_{kind}"))
@@ -94,18 +94,18 @@ def link(chats: DataFrame, schemas=SCHEMAS) -> DataFrame:
     waits = waits.union(wanted.join(known.filter("first_call is not null and first_result is not null"), ["conv", "call_id"]).select("uid", F.col("first_result.uid").alias("needs")))
     waits = tables.keep(waits.distinct())
     turn = linked.select("uid", F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"))
-    done = tables.keep(waits.select(F.col("needs").alias("uid")).distinct().join(waits.select("uid").distinct(), "uid", "left_anti").join(turn, "uid").select("uid", F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")).alias("o")))
-    left, placed = waits, done
-    while not left.isEmpty():
-        seen = left.join(done.select(F.col("uid").alias("needs"), "o"), "needs", "left")
-        ready = seen.groupBy("uid").agg(F.count("*").alias("n"), F.count("o").alias("m"), F.max("o").alias("o")).filter("n = m").join(turn, "uid")
-        after = F.when(F.col("o.t") >= F.col("turn"), F.struct(F.col("o.t").alias("t"), (F.col("o.level") + 1).alias("level"))).otherwise(F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")))
-        ready = tables.keep(ready.select("uid", after.alias("o")))
-        if ready.isEmpty():
-            break
-        placed = tables.keep(placed.union(ready))
-        done = placed
-        left = tables.keep(left.join(ready.select("uid"), "uid", "left_anti"))
+    begin = waits.select(F.col("needs").alias("uid")).distinct().join(waits.select("uid").distinct(), "uid", "left_anti").join(turn, "uid")
+    ready = tables.keep_part("placed", begin.select("uid", F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")).alias("o")))
+    # Each round joins what was placed last with what still waits; `late` is the latest place known of what a row's uid needs.
+    left = tables.keep(waits.withColumn("late", F.lit(None).cast("struct<t:bigint,level:int>")))
+    while not (left.isEmpty() or ready.isEmpty()):
+        seen = left.join(ready.select(F.col("uid").alias("needs"), "o"), "needs", "left")
+        known = seen.groupBy("uid").agg(F.count_if(F.col("o").isNull()).alias("open"), F.greatest(F.max("o"), F.max("late")).alias("late"))
+        known = tables.keep(known.join(turn, "uid"))
+        after = F.when(F.col("late.t") >= F.col("turn"), F.struct(F.col("late.t").alias("t"), (F.col("late.level") + 1).alias("level"))).otherwise(F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")))
+        left = tables.keep(seen.filter("o is null").drop("late", "o").join(known.select("uid", "late"), "uid"))
+        ready = tables.keep_part("placed", known.filter("open = 0").select("uid", after.alias("o")))
+    placed = tables.parts("placed", ready.schema)
     stuck = left.select("uid").distinct().withColumn("stuck", F.lit(True))
     out = linked.join(placed, "uid", "left").join(stuck, "uid", "left")
     is_stuck = F.col("stuck").isNotNull() & (F.col("kind") == "call")
