@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import Tables
 
-#: Vectors that k-means sees, queries that the length of the walk is measured on, members and queries in a block.
-FITTED, MEASURED, MEMBERS, QUERIES = 16_384, 64, 8192, 2048
+#: Vectors that k-means sees, queries that the length of the walk is measured on, members and queries in a block, and
+#: centroids of a half: there are at most as many cells as the square of that, and the driver knows the size of each.
+FITTED, MEASURED, MEMBERS, QUERIES, CENTROIDS = 16_384, 64, 8192, 2048, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -71,12 +72,11 @@ def walk(q: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarra
             heappush(heap, (da[ia[i + 1]] + db[ib[0]], i + 1, 0))
 
 
-def bundled(counts: np.ndarray, n_blocks: np.ndarray) -> np.ndarray:
-    """The bundle of each cell (its first, if it has several blocks): neighbouring cells share one of MEMBERS
-    vectors at most, so that a query brings back its best of a bundle, not of every cell."""
+def bundled(counts: np.ndarray, n_blocks: np.ndarray, most: int) -> np.ndarray:
+    """The bundle of each cell (its first, if it has several blocks): neighbouring cells share one with `most` rows at most."""
     out, at, held = np.zeros(len(counts), np.int32), 0, 0
     for cell, (n, blocks) in enumerate(zip(counts, n_blocks, strict=True)):
-        if held and (blocks > 1 or held + n > MEMBERS):
+        if held and (blocks > 1 or held + n > most):
             at, held = at + 1, 0
         out[cell], held = at, held + n
         if blocks > 1:
@@ -98,13 +98,14 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97, per_cell: int = 256) -> DataFrame:
     """(query_id, rank, id, score): for each row for which the column is_query (of `id`) holds, the k nearest
     of the other rows found, by inner product in double precision, ties to the smaller id; all, if fewer.
 
     Rows with a null id, and vectors that are null, empty, zero, of another length than most, or hold null or
     non-finite components take no part. Repeated rows count once; equal vectors under different ids count
-    each. An empty table gives no rows; other columns are not read.
+    each. An empty table gives no rows; other columns are not read. recall: the share of the neighbours of the measured queries
+    that the walk has to find; per_cell: vectors in a cell on average, as long as CENTROIDS allow.
     """
     spark, tables = vectors.sparkSession, Tables(vectors.sparkSession)
     rows = tables.keep(usable(vectors, id_col, vector_col).distinct())
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
     sample = lambda df, n, most, salt: df.filter(F.pmod(F.xxhash64("e", F.lit(salt)), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, n)))
     fitted = matrix(sample(entries, total, FITTED, 1).select("v").toPandas()["v"]) if total > FITTED else matrix(entries.select("v").toPandas()["v"])
-    h, size = fitted.shape[1] // 2, int(np.clip(np.sqrt(total / 256), 1, 64))
+    h, size = fitted.shape[1] // 2, int(np.clip(np.sqrt(total / per_cell), 1, CENTROIDS))
     first, second = kmeans(fitted[:, :h], size), kmeans(fitted[:, h:], size)
 
     @F.pandas_udf("int")
@@ -123,9 +124,14 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return pd.Series(cells_of(matrix(v), first, second)) if len(v) else pd.Series([], dtype="int32")
 
     index = tables.keep(entries.withColumn("cell", cell_of("v")))
-    counts = np.zeros(len(first) * len(second), int)
-    for r in index.groupBy("cell").count().collect():  # as many rows as cells, at most 4096
-        counts[r["cell"]] = r["count"]
+
+    def sizes(df: DataFrame) -> np.ndarray:
+        """Rows of each cell; as many numbers as there are cells reach the driver."""
+        known, out = df.groupBy("cell").count().toPandas(), np.zeros(len(first) * len(second), np.int64)
+        out[known["cell"]] = known["count"]
+        return out
+
+    counts = sizes(index)
     asked = tables.keep(rows.filter(is_query(F.col("id"))).groupBy("v").agg(F.min("id").alias("e")))
     n_asked = asked.count()
     enough = measure(index, sample(asked, n_asked, MEASURED, 2), first, second, counts, k, recall)
@@ -134,12 +140,16 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     def cells_for(v: pd.Series) -> pd.Series:
         return pd.Series([[c for c, _ in walk(q, first, second, counts, enough)] for q in matrix(v)] if len(v) else [], dtype=object)
 
-    slots = max(1, -(-n_asked // QUERIES))
-    probes = asked.select(F.col("e").alias("q"), "v", F.pmod(F.xxhash64("e", F.lit(3)), F.lit(slots)).cast("int").alias("slot"), F.explode(cells_for("v")).alias("cell"))
-    n_blocks = np.maximum(1, -(-counts // MEMBERS)).astype(np.int32)
-    blocks, bundles = F.lit(n_blocks), F.lit(bundled(counts, n_blocks))
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
-    members = index.select("e", "v", "cell", F.pmod(F.xxhash64("e", F.lit(4)), blocks[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    # Queries that start in neighbouring cells share a slot, since they walk over much the same cells; a cell goes to the slots that want it.
+    asked = tables.keep(asked.withColumn("cells", cells_for("v")).withColumn("cell", F.col("cells")[0]))
+    begins = sizes(asked)
+    parts = [np.maximum(1, -(-n // most)).astype(np.int32) for n, most in ((begins, QUERIES), (counts, MEMBERS))]
+    split = lambda n, salt: F.pmod(F.xxhash64("e", F.lit(salt)), F.lit(n)[F.col("cell")]).cast("int")
+    slot = F.lit(bundled(begins, parts[0], QUERIES))[F.col("cell")] + split(parts[0], 3)
+    probes = asked.withColumn("slot", slot).select(F.col("e").alias("q"), "v", "slot", F.explode("cells").alias("cell"))
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts[1])[F.col("cell")] - 1)))
+    wanted = tables.keep(probes.select("cell", "block", "slot").distinct())
+    members = index.select("e", "v", "cell", split(parts[1], 4).alias("block")).join(wanted, ["cell", "block"])
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -156,7 +166,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return out.groupby("q").head(k + 1)
 
     keys = ["slot", "bundle"]
-    bundle = (bundles[F.col("cell")] + F.col("block")).alias("bundle")
+    bundle = (F.lit(bundled(counts, parts[1], MEMBERS))[F.col("cell")] + F.col("block")).alias("bundle")  # a query brings back its best of a bundle
     probes, members = probes.select("q", "v", "cell", "slot", bundle), members.select("e", "v", "cell", "slot", bundle)
     found = probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(rerank, "q bigint, e bigint, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "e")
