@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 #: Insults known beforehand; the lexicon proper is learned. Fixed values.
 SEEDS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown vermin filth filthy imbecile "
@@ -159,17 +161,19 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; the blocks as points (mean margin, rate), rates between them by a line."""
-    order = np.argsort(margin, kind="stable")
+    """Pool adjacent violators; the blocks as points (mean margin, rate), rates between them by a line. Half an observation
+    of the mean label is part of every block, which keeps the ends off 0 and 1; blocks are pooled until these rates rise. Equal
+    margins are one block from the start."""
+    each, of = np.unique(margin, return_inverse=True)
+    n, prior = np.bincount(of), 0.5 * float(y.mean())
     blocks: list[list[float]] = []
-    for m, t in zip(margin[order], y[order], strict=True):
-        blocks.append([m, t, 1])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+    for block in zip((each * n).tolist(), np.bincount(of, y).tolist(), n.tolist(), strict=True):
+        blocks.append(list(block))
+        while len(blocks) > 1 and (blocks[-2][1] + prior) * (blocks[-1][2] + 0.5) >= (blocks[-1][1] + prior) * (blocks[-2][2] + 0.5):
             b = blocks.pop()
             blocks[-1] = [blocks[-1][i] + b[i] for i in range(3)]
-    n = np.array([b[2] for b in blocks])
-    # One half observation of either label keeps the ends off 0 and 1.
-    return np.array([b[0] for b in blocks]) / n, (np.array([b[1] for b in blocks]) + 0.5 * y.mean()) / (n + 0.5)
+    at, bad, n = (np.array([b[i] for b in blocks]) for i in range(3))
+    return at / n, (bad + prior) / (n + 0.5)
 
 
 @dataclass
@@ -209,15 +213,22 @@ def fit(texts: list[str | None], labels: np.ndarray, folds: int = 5) -> Model:
     return Model(learn_lexicon(sets, y), fit_trees(x, y), *isotonic(margin, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8000) -> Model:
-    """A model from a sample of about `most` labelled rows, taken by the hash of the id. labels: (id, label);
-    only the sample's ids are broadcast and only its texts reach the driver. Null labels don't count."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_y is not null and _id is not null")
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8000, most_bytes: int = 32_000_000) -> Model:
+    """A model from a sample of about `most` labelled rows and `most_bytes` bytes of text at most, taken by the hash of the id. labels: (id,
+    label); null labels don't count. The sample's ids are broadcast; its texts are written out and weighed before
+    the driver reads them: beyond the bounds (long texts, many documents of an id) a smaller share of it is read, and texts larger than
+    the bound on their own are none of the sample. Scores are of all texts, whatever their size."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and id is not null")
     share = min(1.0, most / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").toPandas()
-    rows = rows.sort_values(["_id", "_text"], na_position="first", kind="stable")
-    return fit(rows["_text"].tolist(), rows["_y"].to_numpy())
+    below = lambda key, part: F.pmod(key, F.lit(1_000_000)) < part * 1_000_000
+    sample = known.filter(below(F.xxhash64("id", F.lit(9)), share))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").distinct()
+    found = Tables(docs.sparkSession).keep(found.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))).filter(F.col("bytes") <= most_bytes)
+    n, size = found.agg(F.count("*"), F.sum("bytes")).first()
+    part = min(1.0, 1.2 * most / max(1, n), most_bytes / max(1, size or 0))
+    rows = found.filter(below(F.xxhash64("id", "text", F.lit(10)), part)).toPandas()
+    rows = rows.sort_values(["id", "text"], na_position="first", kind="stable")
+    return fit(rows["text"].tolist(), rows["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
