@@ -30,7 +30,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (ties: the first by code point) and its verdict, null where none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for says, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+    # Each rule overrides those before it.
+    for says, text in sorted(sorted(rules, key=lambda r: r[1], reverse=True), key=lambda r: len(r[1])):
         own, slash, rest = text.partition("/")
         fits = ((host == own) | F.endswith(host, F.lit("." + own))) & F.startswith(path, F.lit(slash + rest))
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, says).otherwise(verdict)
@@ -88,7 +89,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, worst: float = 0.5) -> DataFrame:
-    """(id, host, path, rule, verdict, n_labelled, n_bad) of each page.
+    """(id, host, path, rule, verdict, n_labelled, n_bad, low) of each page; low is the bound, null for hosts without labelled pages.
 
     outcomes: (id, bad) of labelled pages, bad 0 or 1, several rows of an id counting each. Where a rule fits, it decides; else the page
     is blocked if the lower posterior bound of its host's rate of bad pages is above `worst`; hosts without
@@ -102,7 +103,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > worst, "block").otherwise("allow")
     joined = split.join(known, "host", "left")
-    return joined.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_labelled"), F.coalesce("bad", F.lit(0).cast("bigint")).alias("n_bad"))
+    return joined.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_labelled"), F.coalesce("bad", F.lit(0).cast("bigint")).alias("n_bad"), F.round("low", 9).alias("low"))
 
 
 ORACLE = r"""
@@ -128,6 +129,6 @@ rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org',
 fits AS (SELECT page_id, arg_max(own || start, length(own || start)) AS rule, arg_max(says, length(own || start)) AS says
     FROM split JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-    coalesce(n, 0)::BIGINT AS n_labelled, coalesce(bad, 0)::BIGINT AS n_bad
+    coalesce(n, 0)::BIGINT AS n_labelled, coalesce(bad, 0)::BIGINT AS n_bad, round(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) AS low
 FROM split LEFT JOIN p3 USING (host) LEFT JOIN fits USING (page_id)
 """
