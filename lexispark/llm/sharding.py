@@ -104,12 +104,13 @@ def shard(docs: DataFrame, key: Column, shards: int = 40, id_col: str = "doc_id"
     members = linked.withColumn("salts", F.ceil(F.col("n") / F.col("parts") / hot).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int"))
     members = tables.keep(members.select("node", "hub", "salt", "salts"))
     labels = propagate(tables, members, shards, 0.97 * total / shards, rounds)
-    named = tables.keep(members.groupBy("node").agg(F.min("hub").alias("part")).join(labels, "node"))
+    named = tables.keep(members.groupBy("node").agg(F.min("hub").alias("part"), F.min(F.ceil(F.col("salts") * hot / 50_000)).alias("spread")).join(labels, "node"))
 
-    # Linked rows first, hub by hub; then the rows that nothing binds.
+    # Linked rows first, hub by hub, a large hub over several buckets; then the rows that nothing binds.
     buckets = max(1, total // shards // 50_000)
     rows = rows.withColumn("node", F.xxhash64("id", "hub")).join(named, "node", "left")
-    rows = rows.select("id", "size", "text_crc32", "part", F.coalesce(F.col("shard"), below(F.struct("id", "text_crc32"), shards)).cast("int").alias("shard"), (F.when(F.col("part").isNull(), buckets).otherwise(0) + below(F.coalesce("part", F.col("id").cast("string"), F.lit("")), buckets)).alias("bucket"))
+    bucket = F.pmod(F.when(F.col("part").isNull(), F.xxhash64("id", "text_crc32")).otherwise(below(F.col("part"), buckets) + F.pmod(F.xxhash64("id"), F.col("spread"))), F.lit(buckets))
+    rows = rows.select("id", "size", "text_crc32", "part", F.coalesce(F.col("shard"), below(F.struct("id", "text_crc32"), shards)).cast("int").alias("shard"), (F.when(F.col("part").isNull(), buckets).otherwise(0) + bucket).alias("bucket"))
     rows = tables.keep(positions(rows, ["shard"], "bucket", ["part", "id", "text_crc32"]))
     capacity = F.lit(total // shards) + (F.col("shard") < total % shards).cast("bigint")
     loads = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
