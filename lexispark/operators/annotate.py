@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators import match
 from lexispark.plans.config import MatchConfig
 
 
@@ -17,18 +18,27 @@ def ratings(found: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> Da
     return found.select(id_col, "pattern_id").distinct().join(targets, "pattern_id").select(id_col, "target_id").distinct()
 
 
-def with_targets(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Adds `targets`, the distinct targets of the mentions in byte order, to rows with `mentions`. Row by row:
-    the targets of the patterns are one literal map, of the size that the automaton has too."""
-    known = {r["pattern_id"]: sorted(t for t in r["target_ids"] if t is not None) for r in patterns.select("pattern_id", "target_ids").collect()}
+def with_targets(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), small: bool | None = None) -> DataFrame:
+    """Adds `targets`, the distinct targets of the mentions in byte order, to rows with `mentions`. Row by row: the targets of a small
+    dictionary are one literal map; with a larger one, each set of patterns that some row has is joined once. small:
+    what fits() says, if it is known."""
+    ids = F.transform("mentions", lambda m: m["pattern_id"])
+    if match.fits(patterns, config) if small is None else small:
+        known = {r["pattern_id"]: sorted(t for t in r["target_ids"] if t is not None) for r in patterns.select("pattern_id", "target_ids").collect()}
 
-    @F.arrow_udf("array<string>")
-    def of(ids):
-        import pyarrow as pa
+        @F.arrow_udf("array<string>")
+        def of(ids):
+            import pyarrow as pa
 
-        return pa.array([sorted({t for i in row or () for t in known[i]}) for row in ids.to_pylist()], pa.list_(pa.string()))
+            return pa.array([sorted({t for i in row or () for t in known[i]}) for row in ids.to_pylist()], pa.list_(pa.string()))
 
-    return docs.withColumn("targets", of(F.transform("mentions", lambda m: m["pattern_id"])))
+        return docs.withColumn("targets", of(ids))
+    match.refuse_stream(docs)
+    rows = docs.drop("targets").select(F.struct("*").alias("row"), F.array_sort(F.array_distinct(ids)).alias("ids"))
+    sets = rows.select("ids").distinct().select("ids", F.explode("ids").alias("pattern_id"))
+    each = sets.join(patterns.select("pattern_id", "target_ids"), "pattern_id").select("ids", F.explode("target_ids").alias("target_id")).filter("target_id is not null")
+    per_set = each.groupBy("ids").agg(F.sort_array(F.collect_set("target_id")).alias("targets"))
+    return rows.join(per_set, "ids", "left").select("row.*", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
 
 
 def put(column: Column, key: str, value: Column) -> Column:
@@ -54,13 +64,10 @@ def sentences_record(mentions: Column, content_form: Column, normalize: str = "u
         offsets = F.create_map(*[x for k in kinds for x in (F.lit({"byte": "BYTES", "char": "CHARS"}[k]), offset(k, m))])
         return F.struct(i.cast("int").alias("token_num"), m["value"].alias("token"), offsets.alias("offsets"))
 
-    tokens = F.transform(F.coalesce(mentions, F.array().cast(MENTIONS)), token)
+    tokens = F.transform(F.coalesce(mentions, F.array().cast(match.MENTIONS)), token)
     return F.array(F.struct(tokens.alias("tokens")))
 
 
-MENTIONS = "array<struct<pattern_id:int,norm_start:int,norm_end:int,start_byte:int,end_byte:int,start_char:int,end_char:int,value:string>>"
-
-
 def annotated(docs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Adds the maps `ratings` and `sentences` to rows with `mentions`, `targets` and `content_form`. A document
     without targets keeps its ratings; sentences are written for every document that has a text."""
@@ -73,10 +80,13 @@ def annotated(docs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame
     return out.withColumn("sentences", F.when(F.col("content_form").isNotNull(), put(F.col("sentences"), config.annotator_id, sentences) if "sentences" in has else record))
 
 
+def blank(value: Column, kind: str, kept: Column) -> Column:
+    return F.when(kept, value).otherwise(F.lit("") if kind == "string" else F.lit(None))
+
+
 def blank_unmatched(docs: DataFrame, kept: Column) -> DataFrame:
     """Every document; those not kept have '' in every string and null elsewhere."""
-    kinds = dict(docs.dtypes)
-    return docs.select(*[F.when(kept, F.col(c)).otherwise(F.lit("") if kinds[c] == "string" else F.lit(None)).alias(c) for c in docs.columns])
+    return docs.select(*[blank(F.col(c), kind, kept).alias(c) for c, kind in docs.dtypes])
 
 
 def summary(docs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:

@@ -1,38 +1,50 @@
 """Finding every mention of every name: overlapping, nested, without word boundaries.
 
 Small dictionaries go to the workers as an automaton; their size is checked first. Larger ones are joined: every
-position of a text is looked up by the characters there, as many as the shortest name has, and the rest of
-the name is verified. Both give the same rows.
+position of a text is looked up by the hash of the characters there, and what is found is verified. Both give
+the same rows. Streams take small dictionaries only.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.normalize import byte_offsets, fold, normalized_ascii, origins
+from lexispark.functions.normalize import byte_offsets, fold, normal_form, origins
 from lexispark.functions.text import best_content
+from lexispark.functions.worker import once
 from lexispark.plans.config import MatchConfig
 
 #: Characters of a piece in which the join looks up its places.
 PIECE = 256
+#: Characters of a name by which it is looked up: as many of these as it has.
+STEMS = (1, 2, 4, 8, 16, 32)
 
 MENTION = "pattern_id int, norm_start int, norm_end int, start_byte int, end_byte int, start_char int, end_char int, value string"
+MENTIONS = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MENTION.split(', '))}>>"
 
 
-@lru_cache(2)
 def automaton(key: str, names: tuple[str, ...]):
     """Built once per worker and dictionary."""
-    import ahocorasick
 
-    out = ahocorasick.Automaton()
-    for i, name in enumerate(names):
-        out.add_word(name, i)
-    out.make_automaton()
-    return out
+    def build():
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for i, name in enumerate(names):
+            out.add_word(name, i)
+        out.make_automaton()
+        return out
+
+    return once(("automaton", key), build)
+
+
+def named(names: list[str]) -> tuple[str, tuple[str, ...]]:
+    """The names with a key of theirs."""
+    import hashlib
+
+    return hashlib.md5("\0".join(names).encode("utf-8", "surrogatepass")).hexdigest(), tuple(names)
 
 
 def hits(machine, text: str, lengths: np.ndarray) -> np.ndarray:
@@ -41,103 +53,139 @@ def hits(machine, text: str, lengths: np.ndarray) -> np.ndarray:
     return np.array(sorted(found), np.int64).reshape(-1, 3)
 
 
-def spans(text: str, ends: np.ndarray, starts: np.ndarray, how: str):
-    """Source characters and bytes of normalized spans."""
-    back = origins(text) if how == "unicode" else np.arange(len(text) + 1)
+def mentions_at(text: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: str) -> list[dict]:
+    """Mentions at normalized places, with their places in the source."""
+    back, at = origins(text, how), byte_offsets(text)
     a, b = back[starts], back[ends]
-    at = byte_offsets(text)
-    return a, b, at[a], at[b]
+    columns = (x.tolist() for x in (ids, starts, ends, a, b, at[a], at[b]))
+    return [{"pattern_id": i, "norm_start": s, "norm_end": e, "start_byte": p, "end_byte": q, "start_char": x, "end_char": y, "value": text[x:y]} for i, s, e, x, y, p, q in zip(*columns, strict=True)]
 
 
-def matcher(names: list[str], how: str):
-    """A column function from a text to its mentions. how: `unicode` or `none`."""
-    import hashlib
+def arrow_type():
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "string": pa.string()}
+    return pa.list_(pa.struct([(n, kinds[t]) for n, t in (f.split() for f in MENTION.split(", "))]))
 
-    names = tuple(names)
-    key = hashlib.md5("\0".join(names).encode("utf-8", "surrogatepass")).hexdigest()
+
+def matcher(names: list[str], how: str):
+    """A column function from a text to its mentions. how: `unicode`, `ascii` or `none`."""
+    key, names = named(names)
     lengths = np.array([len(n) for n in names], np.int64)
 
     def mentions_of(text):
-        if not text:
-            return []
-        found = hits(automaton(key, names), fold(text) if how == "unicode" else text, lengths)
-        if not len(found):
-            return []
-        ends, starts = found[:, 0], found[:, 0] + found[:, 1]
-        a, b, c, d = (x.tolist() for x in spans(text, ends, starts, how))
-        return [{"pattern_id": i, "norm_start": s, "norm_end": e, "start_byte": p, "end_byte": q, "start_char": x, "end_char": y, "value": text[x:y]} for i, s, e, x, y, p, q in zip(found[:, 2].tolist(), starts.tolist(), ends.tolist(), a, b, c, d, strict=True)]
-
-    @F.arrow_udf(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MENTION.split(', '))}>>")
+        found = hits(automaton(key, names), fold(text, how), lengths) if text else ()
+        return mentions_at(text, found[:, 2], found[:, 0] + found[:, 1], found[:, 0], how) if len(found) else []
+
+    @F.arrow_udf(MENTIONS)
     def mentions(texts):
         import pyarrow as pa
 
-        kinds = {"int": pa.int32(), "string": pa.string()}
-        struct = pa.struct([(n, kinds[t]) for n, t in (f.split() for f in MENTION.split(", "))])
-        return pa.array([mentions_of(t) for t in texts.to_pylist()], pa.list_(struct))
+        return pa.array([mentions_of(t) for t in texts.to_pylist()], arrow_type())
 
     return mentions
 
 
-def with_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), text: str = "text") -> DataFrame:
-    """docs with the array `mentions`, row by row: no shuffle, and repeated ids are not merged. The patterns are
-    collected; callers check the size, as `mentions` does."""
-    names = [r[0] for r in patterns.select("norm_name", "pattern_id").orderBy("pattern_id").collect()]
-    column = normalized_ascii(F.col(text)) if config.normalize == "ascii" else F.col(text)
-    return docs.withColumn("mentions", matcher(names, "unicode" if config.normalize == "unicode" else "none")(column))
+def any_matcher(names: list[str], how: str):
+    """A column function from a text to whether it has a mention; it stops at the first."""
+    key, names = named(names)
+
+    @F.arrow_udf("boolean")
+    def has(texts):
+        import pyarrow as pa
+
+        machine = automaton(key, names)
+        return pa.array([bool(t) and len(machine) > 0 and next(machine.iter(fold(t, how)), None) is not None for t in texts.to_pylist()], pa.bool_())
+
+    return has
 
 
 def fits(patterns: DataFrame, config: MatchConfig) -> bool:
-    return (patterns.agg(F.sum(F.octet_length("norm_name"))).first()[0] or 0) <= config.max_broadcast
+    """Whether names and targets are small enough to go to every worker."""
+    targets = F.aggregate("target_ids", F.lit(0).cast("bigint"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0)))
+    return (patterns.agg(F.sum(F.octet_length("norm_name") + F.coalesce(targets, F.lit(0)))).first()[0] or 0) <= config.max_broadcast
+
+
+def collected(patterns: DataFrame) -> list[str]:
+    """The names in order of their ids, which have no gaps; callers have asked fits()."""
+    return [r[0] for r in patterns.select("norm_name", "pattern_id").orderBy("pattern_id").collect()]
+
+
+def refuse_stream(docs: DataFrame) -> None:
+    if docs.isStreaming:
+        raise ValueError("the dictionary is larger than max_broadcast; a stream can't be joined with it")
+
+
+def with_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), text: str = "text", small: bool | None = None) -> DataFrame:
+    """docs with the array `mentions`, row by row: repeated ids are not merged. A small dictionary takes no shuffle; with a larger
+    one, equal texts are looked up once and joined back on their hash. small: what fits() says, if it is known."""
+    if fits(patterns, config) if small is None else small:
+        return docs.withColumn("mentions", matcher(collected(patterns), config.normalize)(F.col(text)))
+    refuse_stream(docs)
+    rows = docs.drop("mentions").select(F.struct("*").alias("row"), F.col(text).alias("text"), F.md5(text).alias("key"))
+    found = joined_places(rows.select("key", "text"), patterns, config).withColumnRenamed("key", "of")
+    placed = rows.join(found, F.col("key") == F.col("of"), "left").select("row.*", located(config.normalize)("text", "found").alias("mentions"))
+    return placed
 
 
 def mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, token_num and the fields of a mention): one row per mention. token_num: 0, 1, ... by end and then
     longest first. The strategy follows the size of the dictionary."""
-    if fits(patterns, config):
-        found = with_mentions(docs.select(id_col, text), patterns, config, text)
-        return found.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
-    return joined_mentions(docs, patterns, config, id_col, text)
+    found = with_mentions(docs.select(id_col, text), patterns, config, text)
+    return found.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
 
 
 def joined_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows by a join on the first characters, for dictionaries of any size. Rows of docs are told
-    apart by id and text."""
-    from lexispark.operators.names import normal_form
-
-    stem = patterns.agg(F.min(F.length("norm_name"))).first()[0] or 1
-    rows = docs.select(id_col, F.col(text).alias("_source"), normal_form(F.col(text), config.normalize).alias("_norm"), F.xxhash64(text).alias("_row"))
-    longest = patterns.agg(F.max(F.length("norm_name"))).first()[0] or 1
+    """The rows of mentions by the join, whatever the size of the dictionary."""
+    found = with_mentions(docs.select(id_col, text), patterns, config, text, small=False)
+    return found.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
+
+
+def joined_places(texts: DataFrame, patterns: DataFrame, config: MatchConfig) -> DataFrame:
+    """(key, found): normalized places of the names in texts (key, text), in order, for dictionaries of any size.
+
+    A name is looked up by its first 32, 16, 8, 4, 2 or 1 characters, as many of these as it has. Every position
+    of a text gives a row (key, position, hash) for each of these lengths that the dictionary uses, without text; those that
+    hit a stem are verified against the names with that stem, by the characters that follow.
+    """
+    size = F.length("norm_name")
+    stem = F.lit(1)
+    for n in STEMS[1:]:
+        stem = F.when(size >= n, n).otherwise(stem)
+    names = patterns.select("pattern_id", "norm_name", stem.cast("int").alias("n")).withColumn("h", F.xxhash64(F.col("n"), F.substr("norm_name", F.lit(1), F.col("n"))))
+    lengths = {r["n"]: r["longest"] for r in names.groupBy("n").agg(F.max(size).alias("longest")).collect()}  # as many rows as STEMS at most
+    if not lengths:
+        return texts.select("key", F.array().cast("array<struct<norm_end:int,less:int,pattern_id:int,norm_start:int>>").alias("found")).limit(0)
+    longest = max(lengths.values())
+    norm = texts.filter("text <> ''").dropDuplicates(["key"]).select("key", normal_form(F.col("text"), config.normalize).alias("norm"))
     # Pieces first, for the n-th character of a text takes n steps to find. Each carries the rest of a name over its end.
-    begin = F.explode(F.sequence(F.lit(0), F.length("_norm") - stem, F.lit(PIECE)))
-    pieces = rows.filter(F.length("_norm") >= stem).select(id_col, "_row", "_norm", begin.alias("_begin"))
-    pieces = pieces.select(id_col, "_row", "_begin", F.substr("_norm", F.col("_begin") + 1, F.lit(PIECE + longest - 1)).alias("_piece"))
-    at = F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("_piece") - (stem - 1))))
-    places = pieces.select(id_col, "_row", "_begin", "_piece", at.alias("_at"))
-    places = places.select(id_col, "_row", (F.col("_begin") + F.col("_at")).alias("_at"), F.substr("_piece", F.col("_at"), F.lit(stem)).alias("_stem"), F.substr("_piece", F.col("_at"), F.lit(longest)).alias("_ahead"))
-    named = patterns.select("pattern_id", "norm_name", F.substring("norm_name", 1, stem).alias("_stem"))
-    found = places.join(named, "_stem").filter(F.startswith("_ahead", F.col("norm_name")))
-    found = found.select(id_col, "_row", "pattern_id", (F.col("_at") - 1).alias("norm_start"), (F.col("_at") - 1 + F.length("norm_name")).alias("norm_end")).distinct()
-    per_row = found.groupBy(id_col, "_row").agg(F.collect_list(F.struct("norm_end", (F.col("norm_start") - F.col("norm_end")).alias("less"), "pattern_id", "norm_start")).alias("_found"))
-    per_row = per_row.select(F.col(id_col).alias("_of"), F.col("_row").alias("_of_row"), "_found")
-    placed = rows.drop("_norm").join(per_row, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))).select(id_col, located("unicode" if config.normalize == "unicode" else "none")("_source", F.sort_array("_found")).alias("mentions"))
-    return placed.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
+    pieces = norm.select("key", "norm", F.explode(F.sequence(F.lit(0), F.length("norm"), F.lit(PIECE))).alias("begin"))
+    pieces = pieces.select("key", "begin", F.substr("norm", F.col("begin") + 1, F.lit(PIECE + longest - 1)).alias("piece"))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("at")
+    places = pieces.filter("piece <> ''").select("key", "begin", "piece", at)
+    stems = F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.substr("piece", F.col("at"), F.lit(n))).alias("h")) for n in sorted(lengths)])
+    places = places.select("key", "begin", "at", F.explode(stems).alias("s")).select("key", "begin", "at", "s.n", "s.h")
+    met = places.join(names.select("h").distinct(), "h", "left_semi").groupBy("key", "begin").agg(F.collect_list(F.struct("at", "n", "h")).alias("met"))
+    ahead = F.element_at(F.create_map(*[F.lit(x) for n in sorted(lengths) for x in (n, lengths[n])]), F.col("m.n"))
+    near = pieces.join(met, ["key", "begin"]).select("key", "begin", "piece", F.explode("met").alias("m"))
+    near = near.select("key", (F.col("begin") + F.col("m.at") - 1).alias("start"), "m.h", F.substr("piece", F.col("m.at"), ahead).alias("ahead"))
+    found = near.join(names.select("h", "norm_name", "pattern_id"), "h").filter(F.startswith("ahead", F.col("norm_name")))
+    found = found.select("key", "pattern_id", F.col("start").cast("int").alias("start"), (F.col("start") + size).cast("int").alias("end"))
+    return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("end").alias("norm_end"), (F.col("start") - F.col("end")).alias("less"), "pattern_id", F.col("start").alias("norm_start")))).alias("found"))
 
 
 def located(how: str):
-    """A column function that adds source offsets to normalized spans."""
+    """A column function from a text and its normalized places (null: none) to its mentions."""
 
-    @F.arrow_udf(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MENTION.split(', '))}>>")
+    @F.arrow_udf(MENTIONS)
     def place(texts, found):
         import pyarrow as pa
 
-        kinds = {"int": pa.int32(), "string": pa.string()}
-        struct = pa.struct([(n, kinds[t]) for n, t in (f.split() for f in MENTION.split(", "))])
         out = []
         for text, rows in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            ends, starts = (np.array([r[k] for r in rows], np.int64) for k in ("norm_end", "norm_start"))
-            a, b, c, d = (x.tolist() for x in spans(text, ends, starts, how))
-            out.append([{"pattern_id": r["pattern_id"], "norm_start": r["norm_start"], "norm_end": r["norm_end"], "start_byte": p, "end_byte": q, "start_char": x, "end_char": y, "value": text[x:y]} for r, x, y, p, q in zip(rows, a, b, c, d, strict=True)])
-        return pa.array(out, pa.list_(struct))
+            columns = [np.array([r[k] for r in rows or ()], np.int64) for k in ("pattern_id", "norm_start", "norm_end")]
+            out.append(mentions_at(text, *columns, how) if rows else [])
+        return pa.array(out, arrow_type())
 
     return place
 
@@ -147,17 +195,21 @@ def events(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.groupBy(id_col, "norm_end").agg(F.max_by("pattern_id", F.col("norm_end") - F.col("norm_start")).alias("pattern_id"), F.count("*").alias("match_num"))
 
 
-def keep_documents(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), text: str = "text") -> DataFrame:
-    """The documents with a mention, or, negated, those without. Few names are searched by `contains` in the
-    JVM, if the text is matched as it is; else by the automaton."""
-    found = with_mentions(docs, patterns, config, text)
-    some = F.size("mentions") > 0
-    return found.filter(~some if config.negate else some).drop("mentions")
+def has_mention(docs: DataFrame, patterns: DataFrame, config: MatchConfig, text: str = "text") -> Column | None:
+    """Whether a row has a mention, if the dictionary is small; else null."""
+    return any_matcher(collected(patterns), config.normalize)(F.col(text)) if fits(patterns, config) else None
 
 
-def matched_by_join(docs: DataFrame, patterns: DataFrame, negate: bool = False, text: str = "text") -> DataFrame:
-    """The same filter as a semi or anti join, for texts and names that are normalized already."""
-    return docs.join(F.broadcast(patterns.select("norm_name")), F.contains(F.col(text), F.col("norm_name")), "left_anti" if negate else "left_semi")
+def keep_documents(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), text: str = "text") -> DataFrame:
+    """The documents with a mention, or, negated, those without. A small dictionary's search of a text ends at the first
+    mention; a larger one is joined, and the rows of docs semi- or anti-joined on the hash of their text."""
+    some = has_mention(docs, patterns, config, text)
+    if some is not None:
+        return docs.filter(~some if config.negate else some)
+    refuse_stream(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.md5(text).alias("key"))
+    found = joined_places(rows.select("key", "text"), patterns, config).select(F.col("key").alias("of"))
+    return rows.join(found, F.col("key") == F.col("of"), "left_anti" if config.negate else "left_semi").select("row.*")
 
 
 def best_text(docs: DataFrame, config: MatchConfig, columns: dict[str, str] | None = None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.normalize import normalized, normalized_ascii
+from lexispark.functions.normalize import normal_form
 from lexispark.functions.tokens import SEPARATOR_CLASS, tokenized, tokens
 from lexispark.plans.config import MatchConfig
 
@@ -20,10 +20,6 @@ def counts(name_targets: DataFrame) -> DataFrame:
     return name_targets.agg(F.countDistinct("name").alias("n_names"), F.countDistinct("target_id").alias("n_targets"))
 
 
-def normal_form(name: Column, how: str) -> Column:
-    return {"unicode": normalized, "ascii": normalized_ascii, "none": lambda c: c}[how](name)
-
-
 def normalize_names(name_targets: DataFrame, how: str = "unicode") -> DataFrame:
     return name_targets.withColumn("norm_name", normal_form(F.col("name"), how))
 
@@ -61,9 +57,15 @@ def prepare(name_targets: DataFrame, config: MatchConfig = MatchConfig()) -> Dat
 
 
 def numbered(patterns: DataFrame) -> DataFrame:
-    """Ids by order of norm_name. The dictionary is deduplicated by now; its order is one sort that can spill."""
-    row = F.row_number().over(Window.orderBy("norm_name")) - 1
-    return patterns.select(row.cast("int").alias("pattern_id"), "norm_name", "name", "target_ids")
+    """Ids 0, 1, ... by order of norm_name, counted within the names of equal first three characters and over these groups:
+    only the counts of the groups meet in one task."""
+    grouped = patterns.withColumn("head", F.substring("norm_name", 1, 3))
+    sizes = grouped.groupBy("head").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("head", F.coalesce(before, F.lit(0).cast("bigint")).alias("start"))
+    row = F.row_number().over(Window.partitionBy("head").orderBy("norm_name")) - 1
+    placed = grouped.withColumn("row", row).join(starts, "head")
+    return placed.select((F.col("start") + F.col("row")).cast("int").alias("pattern_id"), "norm_name", "name", "target_ids")
 
 
 def good_tokenized(names: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ class MatchConfig:
     as read. duplicates: `first` keeps the first name (by bytes) of those that normalize alike and loses the others' targets, `union` keeps all
     targets. normalize: `unicode`, `ascii` or `none`. negate keeps the documents without a mention;
     emit_empties blanks those not kept instead of dropping them. max_items is the number of documents read.
-    max_broadcast bounds the bytes of names that go to every worker; larger dictionaries are joined."""
+    max_broadcast bounds the bytes of names and targets that go to every worker; larger dictionaries are joined."""
 
     names_path: str | None = None
     names_format: str = "json"

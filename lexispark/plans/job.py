@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import SOURCES
 from lexispark.operators import annotate, match, names
 from lexispark.sources.names import read_names
 
@@ -18,17 +19,25 @@ def patterns_for(spark, config: MatchConfig) -> DataFrame:
 
 
 def matched(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), columns: dict[str, str] | None = None) -> DataFrame:
-    """docs with text, content_form, mentions and targets, row by row (batch or stream)."""
-    texts = match.best_text(docs, config, columns)
-    return annotate.with_targets(match.with_mentions(texts, patterns, config), patterns)
+    """docs with text, content_form, mentions and targets, row by row (batch, or a stream with a small dictionary);
+    columns of these names are replaced."""
+    texts, small = match.best_text(docs, config, columns), match.fits(patterns, config)
+    return annotate.with_targets(match.with_mentions(texts, patterns, config, small=small), patterns, config, small)
 
 
 def run(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), columns: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Reads at most max_items documents, finds mentions, annotates, and keeps, drops or blanks."""
+    """Reads at most max_items documents, finds mentions, annotates, and keeps, drops or blanks. The columns of docs come back as
+    they were, but ratings and sentences, which get an entry more."""
     docs = annotate.first_items(docs, config.max_items, id_col) if config.max_items is not None else docs
-    own = docs.columns
-    full = annotate.annotated(matched(docs, patterns, config, columns), config)
+    sources = {s: c for s, c in (columns or {s: s for s in SOURCES}).items() if c in docs.columns}
+    records = ("ratings", "sentences")
+    # Own names throughout: the columns of docs are fields of a struct meanwhile.
+    apart = docs.select(F.struct("*").alias("row"), *[F.col(c).alias(f"source_{s}") for s, c in sources.items()], *[F.col(c) for c in records if c in docs.columns])
+    full = annotate.annotated(matched(apart, patterns, config, {s: f"source_{s}" for s in sources}), config)
     some = F.coalesce(F.size("mentions") > 0, F.lit(False))
     kept = ~some if config.negate else some
-    out = [*own, *(c for c in ("ratings", "sentences") if c not in own)]
-    return annotate.blank_unmatched(full.withColumn("_kept", kept), F.col("_kept")).select(*out) if config.emit_empties else full.filter(kept).select(*out)
+    kinds = {**dict(docs.dtypes), **{c: "map" for c in records}}
+    out = {c: F.col(c) if c in records else F.col("row").getField(c) for c in dict.fromkeys((*docs.columns, *records))}
+    if config.emit_empties:
+        return full.withColumn("kept", kept).select(*[annotate.blank(v, kinds[c], F.col("kept")).alias(c) for c, v in out.items()])
+    return full.filter(kept).select(*[v.alias(c) for c, v in out.items()])

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispark.functions.normalize import decoded_prefix, normalized
-from lexispark.operators.match import matcher
+from lexispark.functions.normalize import decoded_prefix, fold, normalized
+from lexispark.operators.match import automaton, collected, fits, hits, matcher, mentions_at, named
 
 from .config import MatchConfig
 
 
 def register(spark: SparkSession, patterns: DataFrame | None = None, config: MatchConfig = MatchConfig()) -> None:
-    """lexi_normalize(text), lexi_decode(binary) and, with patterns, lexi_mentions(text), an array of mentions to explode."""
+    """lexi_normalize(text), lexi_decode(binary) and, with patterns of a small dictionary, lexi_mentions(text), an array of mentions to
+    explode, and the table function lexi_find(text) of their surface, pattern and place."""
     spark.udf.register("lexi_normalize", normalized)
     spark.udf.register("lexi_decode", decoded_prefix)
     if patterns is not None:
-        names = [r[0] for r in patterns.select("norm_name", "pattern_id").orderBy("pattern_id").collect()]
-        spark.udf.register("lexi_mentions", matcher(names, "none" if config.normalize == "none" else "unicode"))
+        if not fits(patterns, config):
+            raise ValueError("the dictionary is larger than max_broadcast; join it by match.mentions")
+        names = collected(patterns)
+        spark.udf.register("lexi_mentions", matcher(names, config.normalize))
+        spark.udtf.register("lexi_find", finder(names, config.normalize))
+
+
+def finder(names: list[str], how: str):
+    """A table function of a text: one row per mention."""
+    key, names = named(names)
+    lengths = np.array([len(n) for n in names], np.int64)
+
+    @F.udtf(returnType="pattern_id int, start_char int, end_char int, value string")
+    class Find:
+        def eval(self, text: str):
+            found = hits(automaton(key, names), fold(text, how), lengths) if text else ()
+            for m in mentions_at(text, found[:, 2], found[:, 0] + found[:, 1], found[:, 0], how) if len(found) else ():
+                yield m["pattern_id"], m["start_char"], m["end_char"], m["value"]
+
+    return Find
