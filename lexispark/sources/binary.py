@@ -1,4 +1,4 @@
-"""Python data sources for binary dictionaries.
+"""Binary dictionaries, read through Spark from any store.
 
 A dictionary is a Thrift binary struct: field 1 maps target ids to names, field 2 names to target ids. Offset
 arrays (csr) are a file x.mmap with the bytes of all names and x_begin.mmap with n + 1 unsigned 64-bit offsets.
@@ -9,8 +9,8 @@ from __future__ import annotations
 import io
 import struct
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Type codes of the Thrift binary protocol. Fixed values.
 STOP, BOOL, BYTE, DOUBLE, I16, I32, I64, STRING, STRUCT, MAP, SET, LIST = 0, 2, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15
@@ -76,44 +76,6 @@ def encode_names(pairs: list[tuple[str, str]]) -> bytes:
     return b"".join(struct.pack(">bh", MAP, i + 1) + x for i, x in enumerate(both)) + bytes([STOP])
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
-
-class NamesReader(DataSourceReader):
-    """One partition a file; a glob may name several."""
-
-    def __init__(self, options, decode):
-        self.path, self.decode = options["path"], decode
-
-    def partitions(self):
-        from glob import glob
-
-        found = sorted(glob(self.path.removeprefix("file://")))
-        if not found:
-            raise FileNotFoundError(self.path)
-        return [File(p) for p in found]
-
-    def read(self, partition):
-        yield from self.decode(partition.value)
-
-
-def thrift_file(path: str):
-    with open(path, "rb") as f:
-        yield from decode_names(f.read())
-
-
-def csr_file(path: str):
-    with open(path, "rb") as f:
-        data = f.read()
-    with open(path.removesuffix(".mmap") + "_begin.mmap", "rb") as f:
-        begins = f.read()
-    at = struct.unpack(f"<{len(begins) // 8}Q", begins)
-    for a, b in zip(at, at[1:], strict=False):
-        yield data[a:b].decode(), None
-
-
 def csr_bytes(names: list[str]) -> tuple[bytes, bytes]:
     """The two files of the offset arrays."""
     parts = [n.encode() for n in names]
@@ -123,27 +85,39 @@ def csr_bytes(names: list[str]) -> tuple[bytes, bytes]:
     return b"".join(parts), struct.pack(f"<{len(at)}Q", *at)
 
 
-class ThriftNames(DataSource):
-    @classmethod
-    def name(cls):
-        return "lexispark_thrift"
+def cut_names(content: bytes, begins: bytes) -> list[str]:
+    """The names of the offset arrays."""
+    at = struct.unpack(f"<{len(begins) // 8}Q", begins)
+    return [content[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a file, a folder or a pattern, whole; a file is held by one task."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_thrift(spark: SparkSession, path: str) -> DataFrame:
+    """name_targets of binary structs."""
+
+    @F.arrow_udf("array<struct<name:string,target_id:string>>")
+    def decoded(contents):
+        import pyarrow as pa
 
-    def schema(self):
-        return "name string, target_id string"
+        kind = pa.list_(pa.struct([("name", pa.string()), ("target_id", pa.string())]))
+        return pa.array([[{"name": n, "target_id": t} for n, t in decode_names(c)] for c in contents.to_pylist()], kind)
 
-    def reader(self, schema):
-        return NamesReader(self.options, thrift_file)
+    return files(spark, path).select(F.explode(decoded("content")).alias("x")).select("x.*")
 
 
-class CsrNames(ThriftNames):
-    @classmethod
-    def name(cls):
-        return "lexispark_csr"
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """name_targets without targets of offset arrays: path names the file of names, x.mmap; x_begin.mmap lies beside it."""
 
-    def reader(self, schema):
-        return NamesReader(self.options, csr_file)
+    @F.arrow_udf("array<string>")
+    def cut(contents, begins):
+        import pyarrow as pa
 
+        return pa.array([cut_names(c, b) for c, b in zip(contents.to_pylist(), begins.to_pylist(), strict=True)], pa.list_(pa.string()))
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ThriftNames)
-    spark.dataSource.register(CsrNames)
+    names = files(spark, path).filter(~F.endswith("path", F.lit("_begin.mmap")))
+    begins = files(spark, path.removesuffix(".mmap") + "_begin.mmap").select(F.regexp_replace("path", r"_begin\.mmap$", ".mmap").alias("path"), F.col("content").alias("begins"))
+    return names.join(begins, "path").select(F.explode(cut("content", "begins")).alias("name"), F.lit(None).cast("string").alias("target_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .binary import register
+from .binary import read_csr, read_thrift
 
 LONG = "name string, target_id string"
 
@@ -23,9 +23,10 @@ def read_names(spark: SparkSession, path: str, fmt: str = "json", strip_cr: bool
         return names.filter("name <> ''").withColumn("target_id", F.lit(None).cast("string"))
     if fmt in ("json", "json_inverse"):
         return from_json_maps(spark.read.option("wholetext", True).text(path), fmt == "json_inverse")
-    if fmt in ("thrift", "csr"):
-        register(spark)
-        return spark.read.format(f"lexispark_{fmt}").load(path)
+    if fmt == "thrift":
+        return read_thrift(spark, path)
+    if fmt == "csr":
+        return read_csr(spark, path)
     if fmt == "parquet":
         return spark.read.schema(LONG).parquet(path)
     raise ValueError(f"unknown names format {fmt!r}")
