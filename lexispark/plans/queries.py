@@ -1,6 +1,6 @@
 """One query per operator over the driver's tables, with SQL for DuckDB beside it.
 
-The dictionary: the first two words of each benchmark text, with the item as target, and a few literal names that
+The dictionary: the words of each benchmark text two by two, with the item as target, and a few literal names that
 differ in case, blanks and accents only. documents.text is clean_visible, pages.html is clean_html.
 """
 
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from lexispark.functions import normalize, tokens
 from lexispark.functions.text import best_content
 from lexispark.operators import annotate, match, names, token_match
-from lexispark.sources.documents import lookup, prefix
+from lexispark.sources.documents import lookup, write_documents
 from lexispark.sources.names import from_json_maps, read_names
 from lexispark.streaming.match import rated_stream, read_stream, write_stream
 
 from .config import MatchConfig
 from .job import matched
-from .scratch import scratch
+from .scratch import scratch, stored
 
 LITERALS = (("of the", "t_of"), ("Of  The", "t_of_2"), ("für das", "t_fur"), ("FUR DAS", "t_fur_2"), ("que de", "t_que"), ("ión", "t_short"), ("is  and", "t_is"))
 #: Names for the token matcher: tokens apart by a literal \W.
@@ -50,14 +50,15 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    return table(spark, d, "benchmark").select(first.alias("name"), F.col("item_id").cast("string").alias("target_id")).union(spark.createDataFrame(LITERALS, "name string, target_id string"))
+    words = table(spark, d, "benchmark").select(F.split("text", " ").alias("w"), F.col("item_id").cast("string").alias("target_id"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(2)), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    return words.select(F.explode(F.array_distinct(pairs)).alias("name"), "target_id").union(spark.createDataFrame(LITERALS, "name string, target_id string"))
 
 
 def patterns(spark: SparkSession, d: str, **config) -> tuple[DataFrame, MatchConfig]:
     """The patterns are read several times: for their size, for the automaton and for their targets."""
     c = MatchConfig(**config)
-    return names.prepare(dictionary(spark, d), c).persist(), c
+    return stored(names.prepare(dictionary(spark, d), c)), c
 
 
 def quoted(rows) -> str:
@@ -69,7 +70,7 @@ def folded(x: str) -> str:
     return f"ltrim(regexp_replace(lower(strip_accents({x})), '[{points}]+', ' ', 'g'))"
 
 
-NT = f"nt AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS name, item_id::VARCHAR AS target_id FROM benchmark UNION ALL SELECT * FROM (VALUES {quoted(LITERALS)}) v(name, target_id))"
+NT = f"nt AS (SELECT DISTINCT array_to_string(w[i:i + 1], ' ') AS name, item_id::VARCHAR AS target_id FROM (SELECT w, item_id, unnest(range(1, len(w) + 1, 2)) AS i FROM (SELECT string_split(text, ' ') AS w, item_id FROM benchmark)) UNION ALL SELECT * FROM (VALUES {quoted(LITERALS)}) v(name, target_id))"
 NAMED = f"{NT}, named AS (SELECT *, {folded('name')} AS norm_name FROM nt), good AS (SELECT * FROM named WHERE strlen(norm_name) BETWEEN 5 AND 1000)"
 PAT = f"{NAMED}, pat AS (SELECT norm_name, min(name) AS name FROM good GROUP BY norm_name), pt AS (SELECT DISTINCT norm_name, target_id FROM good JOIN pat USING (norm_name, name))"
 ND = f"nd AS (SELECT doc_id, {folded('text')} AS t FROM documents)"
@@ -105,13 +106,16 @@ def passthrough(spark, d):
 
 @query("SELECT doc_id, text, substr(doc_id::VARCHAR, 1, 3) AS id_prefix FROM documents WHERE doc_id = 123")
 def lookup_by_prefix(spark, d):
-    return lookup(docs(spark, d), "123").withColumn("id_prefix", prefix(F.col("doc_id")))
+    """From a table written by prefix; a lookup reads one of its folders."""
+    path = scratch(spark)
+    write_documents(docs(spark, d), path, by_prefix=True)
+    return lookup(spark.read.parquet(path), "123").withColumn("id_prefix", F.col("id_prefix").cast("string"))
 
 
-@query("SELECT DISTINCT string_split(text, chr(10))[1] AS name, NULL::VARCHAR AS target_id FROM benchmark")
+@query("SELECT name, NULL::VARCHAR AS target_id FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS name FROM benchmark) WHERE name <> ''")
 def names_simple(spark, d):
     path = scratch(spark)
-    table(spark, d, "benchmark").select(F.element_at(F.split("text", "\n"), 1).alias("value")).distinct().write.text(path)
+    table(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("value")).distinct().write.text(path)
     return read_names(spark, path, "lines")
 
 
@@ -162,11 +166,11 @@ def max_names(spark, d):
 
 
 RE2_SEP = r"[\x00 \t\n\r\-,.:''~`!@#$%^&*()_+={}\[\]|\\;\x22<>/?]+"
-TOK = f"tok AS (SELECT name, list_filter(regexp_split_to_array(name, '{RE2_SEP}'), lambda t: t <> '') AS tokens FROM (SELECT text[1:60] AS name FROM benchmark UNION SELECT url FROM pages))"
+TOK = f"tok AS (SELECT name, list_filter(regexp_split_to_array(name, '{RE2_SEP}'), lambda t: t <> '') AS tokens FROM (SELECT text AS name FROM benchmark UNION SELECT url FROM pages))"
 
 
 def raw_names(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.substring("text", 1, 60).alias("name")).union(table(spark, d, "pages").select("url")).distinct()
+    return table(spark, d, "benchmark").select(F.col("text").alias("name")).union(table(spark, d, "pages").select("url")).distinct()
 
 
 @query(f"WITH {TOK} SELECT name, array_to_string(tokens, ' ') AS tokenized FROM tok")
@@ -189,29 +193,31 @@ def token_stats(spark, d):
     return names.token_stats(raw_names(spark, d))
 
 
-PAIRED = f"tk AS (SELECT url, list_filter(regexp_split_to_array(url, '{RE2_SEP}'), lambda t: t <> '') AS a, list_filter(regexp_split_to_array(replace(url, '://', ' '), '{RE2_SEP}'), lambda t: t <> '') AS b, list_filter(regexp_split_to_array(split_part(url, '/', 3), '{RE2_SEP}'), lambda t: t <> '') AS c FROM pages)"
+RE2_NOT_SEP = "[^" + RE2_SEP[1:-1]
+PAIRED = f"tk AS (SELECT url, list_filter(regexp_split_to_array(replace(url, '.', ''), '{RE2_SEP}'), lambda t: t <> '') AS e, list_filter(regexp_split_to_array(url, '{RE2_SEP}'), lambda t: t <> '') AS a, list_filter(regexp_split_to_array(replace(url, '://', ' '), '{RE2_SEP}'), lambda t: t <> '') AS b, list_filter(regexp_split_to_array(split_part(url, '/', 3), '{RE2_SEP}'), lambda t: t <> '') AS c FROM pages)"
 
 
-@query(f"WITH {PAIRED} SELECT url, a = b AS same FROM tk")
+@query(f"WITH {PAIRED} SELECT url, a = b AS same, a = e AS glued FROM tk")
 def token_chain_eq(spark, d):
-    return table(spark, d, "pages").select("url", tokens.same_chain(F.col("url"), F.replace("url", F.lit("://"), F.lit(" "))).alias("same"))
+    without = lambda x, y: F.replace("url", F.lit(x), F.lit(y))
+    return table(spark, d, "pages").select("url", tokens.same_chain(F.col("url"), without("://", " ")).alias("same"), tokens.same_chain(F.col("url"), without(".", "")).alias("glued"))
 
 
-@query(f"WITH {PAIRED} SELECT url, a[1:len(c)] = c AS bare, a[2:len(c) + 1] = c AS after FROM tk")
+@query(f"WITH {PAIRED} SELECT url, a[1:len(c)] = c AS bare, a[2:len(c) + 1] = c AS after, CASE WHEN a[2:len(c) + 1] = c THEN coalesce(list_sum(list_transform(regexp_extract_all(split_part(url, '://', 2), '{RE2_SEP[:-1]}*{RE2_NOT_SEP}+')[1:len(c)], lambda p: length(p))), 0)::INT END AS ends FROM tk")
 def token_chain_prefix(spark, d):
     host = F.split_part("url", F.lit("/"), F.lit(3))
     rest = F.split_part("url", F.lit("://"), F.lit(2))
-    return table(spark, d, "pages").select("url", tokens.is_head(host, F.col("url")).alias("bare"), tokens.is_head(host, rest).alias("after"))
+    return table(spark, d, "pages").select("url", tokens.is_head(host, F.col("url")).alias("bare"), tokens.is_head(host, rest).alias("after"), tokens.head_end(host, rest).alias("ends"))
 
 
 # Texts
 
 
-@query("SELECT coalesce(doc_id, page_id) AS doc_id, CASE WHEN text <> '' THEN text WHEN html <> '' THEN html END AS text, CASE WHEN text <> '' THEN 'clean_visible' WHEN html <> '' THEN 'clean_html' END AS content_form FROM (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN pages ON page_id = doc_id")
+@query("SELECT coalesce(doc_id, page_id) AS doc_id, CASE WHEN html <> '' THEN html WHEN text <> '' THEN text END AS text, CASE WHEN html <> '' THEN 'clean_html' WHEN text <> '' THEN 'clean_visible' END AS content_form FROM documents FULL JOIN pages ON page_id = doc_id")
 def best_text(spark, d):
-    some = docs(spark, d).filter("doc_id % 3 <> 0")
-    both = some.join(table(spark, d, "pages"), F.col("doc_id") == F.col("page_id"), "full")
-    text, form = best_content("clean_visible", {"clean_visible": "text", "clean_html": "html"})
+    """Pages have html; of documents without a page the visible text is the next best."""
+    both = docs(spark, d).join(table(spark, d, "pages"), F.col("doc_id") == F.col("page_id"), "full")
+    text, form = best_content("clean_html", {"clean_visible": "text", "clean_html": "html"})
     return both.select(F.coalesce("doc_id", "page_id").alias("doc_id"), text.alias("text"), form.alias("content_form"))
 
 
@@ -225,10 +231,11 @@ def normalize_ascii(spark, d):
     return docs(spark, d).select("doc_id", normalize.normalized_ascii(F.col("text")).alias("norm"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE text END AS text FROM documents")
+@query("SELECT doc_id, text FROM documents")
 def invalid_utf8_prefix(spark, d):
-    bad = F.concat(F.encode(F.substring("text", 1, 50), "UTF-8"), F.lit(b"\xff"), F.encode("text", "UTF-8"))
-    raw = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, bad).otherwise(F.encode("text", "UTF-8")).alias("raw"))
+    """Behind each whole text stand a bad byte and the text once more; what stands before the bad byte counts."""
+    utf8 = F.encode("text", "UTF-8")
+    raw = docs(spark, d).select("doc_id", F.concat(utf8, F.lit(b"\xff"), utf8).alias("raw"))
     return raw.select("doc_id", normalize.decoded_prefix("raw").alias("text"))
 
 
@@ -238,7 +245,7 @@ def invalid_utf8_prefix(spark, d):
 @query(f"{R} {FOUND} SELECT doc_id, norm_name, norm_start, norm_end FROM found")
 def mentions_all(spark, d):
     found, p = mentions(spark, d)
-    return found.join(F.broadcast(p), "pattern_id").select("doc_id", "norm_name", "norm_start", "norm_end")
+    return found.join(p, "pattern_id").select("doc_id", "norm_name", "norm_start", "norm_end")
 
 
 @query(f"{R} {FOUND} SELECT doc_id, norm_name, norm_start, norm_end FROM found")
@@ -254,7 +261,7 @@ RAW = f"""{NT}, rp AS (SELECT DISTINCT name FROM nt WHERE strlen(name) BETWEEN 5
 @query(f"{R} {RAW} SELECT m.doc_id, name, (pos - 1)::INT AS start_char, (pos - 1 + length(name))::INT AS end_char, strlen(substr(text, 1, pos - 1))::INT AS start_byte, (strlen(substr(text, 1, pos - 1)) + strlen(name))::INT AS end_byte, name AS value FROM m JOIN documents d ON d.doc_id = m.doc_id")
 def match_raw(spark, d):
     found, p = mentions(spark, d, normalize="none")
-    return found.join(F.broadcast(p), "pattern_id").select("doc_id", "name", "start_char", "end_char", "start_byte", "end_byte", "value")
+    return found.join(p, "pattern_id").select("doc_id", "name", "start_char", "end_char", "start_byte", "end_byte", "value")
 
 
 @query(f"{R} {RAW} SELECT m.doc_id, name, name AS value, name AS again, count(*) AS n FROM m JOIN documents d ON d.doc_id = m.doc_id GROUP BY ALL")
@@ -263,7 +270,7 @@ def mention_values(spark, d):
 
     found, p = mentions(spark, d, normalize="none")
     again = found.join(docs(spark, d), "doc_id").withColumn("again", bytes_between(F.col("text"), F.col("start_byte"), F.col("end_byte")))
-    return again.join(F.broadcast(p), "pattern_id").groupBy("doc_id", "name", "value", "again").agg(F.count("*").alias("n"))
+    return again.join(p, "pattern_id").groupBy("doc_id", "name", "value", "again").agg(F.count("*").alias("n"))
 
 
 @query(f"{R} {FOUND} SELECT doc_id, norm_name, count(*) AS n, count(*) AS n_same FROM found GROUP BY doc_id, norm_name")
@@ -271,7 +278,7 @@ def mention_offsets(spark, d):
     """The surface text of each mention, normalized, is its name, but for a blank at its end."""
     found, p = mentions(spark, d)
     same = F.rtrim(normalize.normalized("value")) == F.rtrim("norm_name")
-    return found.join(F.broadcast(p), "pattern_id").withColumn("same", same).groupBy("doc_id", "norm_name").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
+    return found.join(p, "pattern_id").withColumn("same", same).groupBy("doc_id", "norm_name").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
 
 
 @query(f"WITH {PAT}, {ND} SELECT doc_id FROM nd WHERE EXISTS (SELECT 1 FROM pat WHERE contains(t, norm_name))")
@@ -280,26 +287,75 @@ def filter_docs(spark, d):
     return match.keep_documents(docs(spark, d), p, c).select("doc_id")
 
 
+@query(f"WITH {PAT}, {ND} SELECT doc_id FROM nd WHERE EXISTS (SELECT 1 FROM pat WHERE contains(t, norm_name))")
+def filter_docs_joined(spark, d):
+    p, c = patterns(spark, d, max_broadcast=0)
+    return match.keep_documents(docs(spark, d), p, c).select("doc_id")
+
+
 @query(f"WITH {PAT}, {ND} SELECT doc_id FROM nd WHERE NOT EXISTS (SELECT 1 FROM pat WHERE contains(t, norm_name))")
 def filter_docs_negate(spark, d):
     p, c = patterns(spark, d, negate=True)
     return match.keep_documents(docs(spark, d), p, c).select("doc_id")
 
 
+PLAIN = lambda x: f"ltrim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\t-\\r .]+', ' ', 'g'))"
+#: Every character of a text that stays, with its place; only the first of a run of blanks stays, and none at the begin.
+ASCII_FOUND = f"""{NT}, ap AS (SELECT DISTINCT {PLAIN('name')} AS norm FROM nt WHERE strlen({PLAIN('name')}) BETWEEN 5 AND 1000),
+    an AS (SELECT doc_id, text, {PLAIN('text')} AS t FROM documents),
+    m(doc_id, norm, pos) AS (SELECT doc_id, norm, strpos(t, norm)::BIGINT FROM an JOIN ap ON contains(t, norm)
+    UNION ALL SELECT m.doc_id, m.norm, (m.pos + strpos(substr(an.t, m.pos + 1), m.norm))::BIGINT FROM m JOIN an USING (doc_id) WHERE strpos(substr(an.t, m.pos + 1), m.norm) > 0),
+    runs AS (SELECT doc_id, regexp_extract_all(text, '[\\t-\\r .]+|[^\\t-\\r .]') AS r FROM documents WHERE doc_id IN (SELECT doc_id FROM m)),
+    lens AS (SELECT doc_id, list_transform(CASE WHEN regexp_matches(r[1], '^[\\t-\\r .]') THEN r[2:] ELSE r END, lambda x: length(x)) AS l, CASE WHEN regexp_matches(r[1], '^[\\t-\\r .]') THEN length(r[1]) ELSE 0 END AS skipped FROM runs),
+    ends AS (SELECT doc_id, norm, pos, skipped + coalesce(list_sum(l[1:pos - 1]), 0) AS a, skipped + coalesce(list_sum(l[1:pos - 1 + length(norm)]), 0) AS b FROM m JOIN lens USING (doc_id))"""
+
+
+@query(f"{R} {ASCII_FOUND} SELECT doc_id, norm AS norm_name, a::INT AS start_char, b::INT AS end_char, strlen(substr(text, 1, a::BIGINT))::INT AS start_byte, substr(text, a::BIGINT + 1, (b - a)::BIGINT) AS value FROM ends JOIN an USING (doc_id)")
+def match_ascii(spark, d):
+    found, p = mentions(spark, d, normalize="ascii")
+    return found.join(p, "pattern_id").select("doc_id", "norm_name", "start_char", "end_char", "start_byte", "value")
+
+
+@query(f"{R} {ASCII_FOUND} SELECT doc_id, norm AS norm_name, a::INT AS start_char, b::INT AS end_char, strlen(substr(text, 1, a::BIGINT))::INT AS start_byte, substr(text, a::BIGINT + 1, (b - a)::BIGINT) AS value FROM ends JOIN an USING (doc_id)")
+def match_ascii_joined(spark, d):
+    found, p = mentions(spark, d, normalize="ascii", max_broadcast=0)
+    return found.join(p, "pattern_id").select("doc_id", "norm_name", "start_char", "end_char", "start_byte", "value")
+
+
 @query(f"{R} {FOUND} SELECT doc_id, norm_end, arg_max(norm_name, length(norm_name)) AS norm_name, count(*) AS match_num FROM found GROUP BY doc_id, norm_end")
 def match_events(spark, d):
     found, p = mentions(spark, d)
-    return match.events(found).join(F.broadcast(p), "pattern_id").select("doc_id", "norm_end", "norm_name", "match_num")
+    return match.events(found).join(p, "pattern_id").select("doc_id", "norm_end", "norm_name", "match_num")
+
+
+#: Tokens with the place of each, and mentions of names of one token or two, of which the second does not begin like the first.
+TOKEN_FOUND = rf"""pieces AS (SELECT doc_id, i, p[i] AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ \n\t\r]*[^ \n\t\r]+') AS p FROM documents))),
+    tk AS (SELECT doc_id, i, ltrim(piece, chr(32) || chr(10) || chr(9) || chr(13)) AS tok, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS pos FROM pieces),
+    tn AS (SELECT name, string_split(name, '\W') AS t, string_agg(target_id, ',' ORDER BY target_id) AS target_ids FROM (VALUES {quoted(TOKEN_NAMES)}) v(name, target_id) GROUP BY name),
+    tm AS (SELECT a.doc_id, name, a.pos::INT AS first, CASE WHEN len(t) = 1 THEN length(t[1]) ELSE b.pos + length(t[2]) - a.pos END::INT AS length, target_ids
+    FROM tk a JOIN tn ON starts_with(a.tok, t[1]) LEFT JOIN tk b ON b.doc_id = a.doc_id AND b.i = a.i + 1 WHERE len(t) = 1 OR starts_with(b.tok, t[2]))"""
+
+
+def token_names(spark) -> DataFrame:
+    return spark.createDataFrame(TOKEN_NAMES, "name string, target_id string")
 
 
-@query()
+@query(f"WITH {TOKEN_FOUND} SELECT doc_id, name, first, length, target_ids FROM tm")
 def token_mentions(spark, d):
-    return token_match.mentions(docs(spark, d), spark.createDataFrame(TOKEN_NAMES, "name string, target_id string")).select("doc_id", "name", "first", "length", F.array_join("target_ids", ",").alias("target_ids"))
+    return token_match.mentions(docs(spark, d), token_names(spark)).select("doc_id", "name", "first", "length", F.array_join("target_ids", ",").alias("target_ids"))
 
 
-@query()
+@query(f"WITH {TOKEN_FOUND} SELECT doc_id, unnest(string_split(target_ids, ',')) AS target_id, first, length FROM tm")
 def token_labels(spark, d):
-    return token_match.labels(token_match.mentions(docs(spark, d), spark.createDataFrame(TOKEN_NAMES, "name string, target_id string")))
+    return token_match.labels(token_match.mentions(docs(spark, d), token_names(spark)))
+
+
+@query(f"WITH {TOKEN_FOUND}, each AS (SELECT doc_id, name, first, unnest(string_split(target_ids, ',')) AS target_id FROM tm) SELECT doc_id, string_agg(target_id || ' ' || first, ',' ORDER BY name, first, target_id) AS labels, count(*) AS n_ratings FROM each GROUP BY doc_id")
+def token_labels_nested(spark, d):
+    full = token_match.with_labels(docs(spark, d), token_names(spark)).filter("labels is not null")
+    entry = lambda c: F.col(c)[MatchConfig.annotator_id]
+    spelt = F.transform(entry("labels"), lambda x: F.concat_ws(" ", x["target"]["target_id"], x["first"].cast("string")))
+    return full.select("doc_id", F.array_join(spelt, ",").alias("labels"), F.size(entry("ratings")).cast("bigint").alias("n_ratings"))
 
 
 # Annotation
@@ -310,6 +366,13 @@ def ratings(spark, d):
     return rated(spark, d)
 
 
+@query(f"{R} {FOUND} SELECT doc_id, string_agg(target_id, ',' ORDER BY target_id) AS target_ids FROM rated GROUP BY doc_id")
+def ratings_joined(spark, d):
+    p, c = patterns(spark, d, max_broadcast=0)
+    full = matched(docs(spark, d), p, c, VISIBLE).filter(F.size("targets") > 0)
+    return full.select("doc_id", F.array_join("targets", ",").alias("target_ids"))
+
+
 @query(f"{R} {FOUND} SELECT doc_id, string_agg(target_id, ',' ORDER BY target_id) AS target_ids FROM rated GROUP BY doc_id")
 def ratings_nested(spark, d):
     p, c = patterns(spark, d)
@@ -321,7 +384,7 @@ def ratings_nested(spark, d):
 @query(f"{R} {FOUND} SELECT doc_id, norm_name, norm_start, (row_number() OVER (PARTITION BY doc_id ORDER BY norm_end, norm_start) - 1)::INT AS token_num FROM found")
 def token_num(spark, d):
     found, p = mentions(spark, d)
-    return found.join(F.broadcast(p), "pattern_id").select("doc_id", "norm_name", "norm_start", "token_num")
+    return found.join(p, "pattern_id").select("doc_id", "norm_name", "norm_start", "token_num")
 
 
 @query(f"{R} {FOUND} SELECT d.doc_id, count(f.doc_id)::INT AS n_tokens FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id WHERE text <> '' GROUP BY d.doc_id")
