@@ -66,5 +66,53 @@ def test_plan_reads_what_it_needs(spark, data):
     from lexispark.plans.queries import QUERIES
 
     plan = QUERIES["scan_docs"](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<text:string,lang:string,doc_id:bigint>" in plan or "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+    read = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert sorted(read.split(",")) == ["doc_id:bigint", "lang:string", "text:string"]
     assert "EqualTo(lang,en)" in plan
+
+
+def test_stream_counts_and_rates(spark, tmp_path):
+    from lexispark.streaming.match import rates
+
+    c = MatchConfig(min_bytes=3)
+    p = names.prepare(spark.createDataFrame(PAIRS, "name string, target_id string"), c)
+    spark.createDataFrame([(i, "see ann ek") for i in range(6)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    rated = rated_stream(read_stream(spark, f"{tmp_path}/in", "doc_id long, text string", 1), p, c, {"clean_visible": "text"}).select("doc_id", "targets")
+    query = write_stream(rated, f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    known = rates(query)
+    assert sum(n for _, n, _ in known) == 6 and all(r > 0 for _, n, r in known if n)
+
+
+def test_functions_travel_with_their_code(tmp_path):
+    """Executors that can't import the package run the matcher, the token matcher and a whole job."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})  # of the driver only
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "512m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from lexispark.operators import match, names, token_match
+from lexispark.plans.config import MatchConfig
+from lexispark.plans.job import run
+c = MatchConfig(min_bytes=3)
+p = names.prepare(spark.createDataFrame([("Ann Ek", "t1")], "name string, target_id string"), c)
+docs = spark.createDataFrame([(1, "see ann  ek"), (2, "é Ann Ek")], "doc_id long, text string")
+assert match.mentions(docs, p, c).count() == 2
+assert match.joined_mentions(docs, p, c).count() == 2
+assert match.keep_documents(docs, p, c).count() == 2
+assert run(docs, p, c, {{"clean_visible": "text"}}).count() == 2
+assert token_match.mentions(docs, spark.createDataFrame([("Ann", "t")], "name string, target_id string")).count() == 1
+try:
+    spark.sparkContext.parallelize([1]).map(lambda _: __import__("lexispark")).count()
+    print("IMPORTED")
+except Exception:
+    print("DONE")
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("DONE"), out.stderr[-2000:]
