@@ -1,5 +1,6 @@
 import pytest
 
+from lexispark.llm.common import Tables
 from lexispark.llm.queries import ORACLES, QUERIES
 
 
@@ -19,10 +20,9 @@ def test_pipeline(spark, data):
     """Each stage on what the one before kept, against what it has to keep."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{data}/documents.parquet").cache()
-    kept = {}
+    docs, kept = spark.read.parquet(f"{data}/documents.parquet"), {}
     for name, stage in p.STAGES:
-        out = stage(spark, docs, data).cache()
+        out = Tables(spark).keep(stage(spark, docs, data))
         kept[name] = out.toPandas()
         if name != p.STAGES[-1][0]:
             assert out.columns == docs.columns
