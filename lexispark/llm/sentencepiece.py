@@ -41,10 +41,10 @@ SLICE = 250
 
 
 class Codec:
-    """Encoder and decoder of one model file. cache: the number of stretches and of pairs of pieces beyond which what is known
-    of them is forgotten."""
+    """Encoder and decoder of one model file. cache: the number of stretches, and half of that of pairs of pieces, beyond which what
+    is known of them is forgotten."""
 
-    def __init__(self, content: bytes, cache: int = 400_000):
+    def __init__(self, content: bytes, cache: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=content)
@@ -69,6 +69,7 @@ class Codec:
         self.pairs, self.n_pairs = {}, 0
         self.merged: dict[str, tuple[str, str]] = {}  # of pieces of the vocabulary only
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache = cache
 
     def parts(self, piece: str) -> tuple[str, str]:
@@ -144,7 +145,7 @@ class Codec:
         known = after.get(b)
         if known is None:
             self.n_pairs += 1
-            if self.n_pairs > self.cache:
+            if self.n_pairs > 2 * self.cache:
                 self.pairs, self.n_pairs = {}, 0
             known = after[b] = self.stay_apart(a, b)
         return known
@@ -232,10 +233,11 @@ class Codec:
     def encode_some(self, texts) -> list[np.ndarray]:
         marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
         lists = [self.stretches.findall(t) if self.stretches else [t] * bool(t) for t in marked]
-        if len(self.known) > self.cache:
-            self.known = {}
-        known = self.known
-        new = sorted(set().union(*lists).difference(known))
+        if len(self.known) > self.cache // 2:  # what has not been met since the last time goes
+            self.old, self.known = self.known, {}
+        known, used = self.known, set().union(*lists)
+        known.update((x, self.old[x]) for x in used.intersection(self.old) if x not in known)
+        new = sorted(used.difference(known))
         known.update(self.committed(new))
         out = [np.frombuffer(b"".join([known[x] for x in own]), np.int32) for own in lists]
         for x in new:
