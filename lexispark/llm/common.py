@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def untucked(columns: list[str], **used: str) -> list[Column]:
     return [(F.col(own[c]) if c in own else F.col("row").getField(c)).alias(c) for c in columns]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row, though body uses it within lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def filter_after(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter(condition), but evaluated on the columns as computed. The optimizer would push the filter below their
     projections and copy their expressions into it, into lambdas as well; it doesn't where the filter hangs on a row number.
@@ -69,13 +75,23 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.held = 0, []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.held[-1][0]
+
+    def only(self, *needed: DataFrame) -> None:
+        """Deletes what keep() has returned, but for what is still needed: nothing that is left to compute may read the others."""
+        jvm = self.spark.sparkContext._jvm
+        for df, path in self.held:
+            if not any(df is x for x in needed):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.held = [x for x in self.held if any(x[0] is y for y in needed)]
 
     def keep_part(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df as one more part of a table and returns this part."""
@@ -98,7 +114,7 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     the nodes with edges at most. Each round is written out; it ends when no edge is left. Only the
     answers to whether an edge is left or a hook moved reach the driver.
     """
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tables, pair = Tables(tables.spark), (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = tables.keep(edges.select(*pair).filter("a <> b").distinct())
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     labels = tables.keep(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
@@ -116,4 +132,5 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
         edges = tables.keep(contracted.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
         moved = labels.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left")
         labels = tables.keep(moved.select("node", F.coalesce("root", "comp").alias("comp")))
+        tables.only(edges, labels)
     return labels

@@ -9,23 +9,30 @@ if their first line goes (one ending at each line): in a maximal repeated run, t
 but those of the last `least` words, extending the run forwards, and the latter every line but those of the
 first, extending it backwards.
 
-Winnowing: a span is a window, and its line of smallest hash is its fingerprint. Equal spans have equal
-fingerprints, wherever they stand, so a span whose fingerprint has one position in the whole corpus has no
-equal and goes no further. The positions of the others are joined on the hash of the whole span; the first
-position stays and the later ones are deleted.
+Winnowing: a span is a window, and its line of smallest hash is its fingerprint. Equal spans have equal fingerprints,
+wherever they stand. So only fingerprints and their positions are gathered, and positions are joined on the
+fingerprint's hash. Those that meet no other go no further. From the others the lines before and after are taken in,
+as far as their spans reach, and compared by the hash of all these lines: what is equal around equal
+fingerprints is a match, its first position stays and the later ones are deleted; overlapping matches make a run. A
+fingerprint that stands in very many places costs a row for each, not one for each two.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, Tables, tucked, untucked
+from .common import GAP, Tables, let, tucked, untucked
 
 
-def spans(docs: DataFrame, least: int) -> DataFrame:
-    """(id, th, first, last, span, mark, at) from rows (id, text, th): the spans of each text, their first and last line, their
-    hash, and the hash and line of their fingerprint. Repeated rows (equal id and text) give their spans once."""
+def solid(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.regexp_replace(line, f"^{GAP}", "") != ""
+
+
+def fingerprints(docs: DataFrame, least: int) -> DataFrame:
+    """(id, th, first, last, mark, at) from rows (id, text, th): the first and last line of the spans of each text, and the hash and
+    line of their fingerprints. Repeated rows (equal id and text) give their spans once."""
     lines = docs.filter("text is not null").select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     trimmed = F.regexp_replace("line", f"^{GAP}", "")
     lines = lines.withColumn("n", F.size(F.split(trimmed, f"{GAP}(?!$)")) * (trimmed != "").cast("int")).filter("n > 0")
@@ -37,22 +44,35 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
     for order, low, high in (("c", 0, least - 1), ("e", 1 - least, 0)):
         w = Window.partitionBy("id", "th").orderBy(order).rangeBetween(low, high)
         mark = F.min(F.struct("h", "pos")).over(w)
-        span = lines.select("id", "th", F.sum("n").over(w).alias("words"), F.min("pos").over(w).alias("first"), F.max("pos").over(w).alias("last"), F.xxhash64(F.collect_list("h").over(w)).alias("span"), mark.alias("mark"))
-        out.append(span.filter(F.col("words") >= least).select("id", "th", "first", "last", "span", F.col("mark.h").alias("mark"), F.col("mark.pos").alias("at")))
+        span = lines.select("id", "th", F.sum("n").over(w).alias("words"), F.min("pos").over(w).alias("first"), F.max("pos").over(w).alias("last"), mark.alias("mark"))
+        out.append(span.filter(F.col("words") >= least).select("id", "th", "first", "last", F.col("mark.h").alias("mark"), F.col("mark.pos").alias("at")))
     return out[0].union(out[1])
 
 
+def extended(docs: DataFrame, around: DataFrame) -> DataFrame:
+    """(id, th, first, last, span): the spans around fingerprints, (id, th, spans) of texts that have any, with the hash of their lines."""
+    around = around.select(F.col("id").alias("of_id"), F.col("th").alias("of_th"), "spans")
+    texts = docs.join(around.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+    hashes = F.transform(F.split("text", "\n"), lambda line: F.when(solid(line), F.xxhash64(line)))
+    between = lambda hs, s: F.filter(F.slice(hs, s["first"] + 1, s["last"] - s["first"] + 1), lambda h: h.isNotNull())
+    spans = let(hashes, lambda hs: F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(between(hs, s)).alias("span"))))
+    return texts.select("id", "th", F.explode(spans).alias("s")).select("id", "th", "s.*").distinct()
+
+
 def repeats(docs: DataFrame, least: int) -> DataFrame:
     """(id, th, cuts): the stretches of lines to delete from each text (id, text, th) that has any, in order."""
     tables = Tables(docs.sparkSession)
-    found = tables.keep(spans(docs, least))
+    found = tables.keep(fingerprints(docs, least))
     place = F.struct("id", "th", "at")
-    marks = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("mark")
-    met = found.join(marks, "mark", "left_semi")
+    met = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("mark")
+    around = found.join(met, "mark", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    matches = tables.keep(extended(docs, around))
     start = F.struct("id", "th", "first")
-    firsts = met.groupBy("span").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("span", "a")
-    later = met.join(firsts, "span").filter(start != F.col("a")).select("id", "th", "first", "last").distinct()
-    return tables.keep(islands(later))
+    firsts = matches.groupBy("span").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("span", "a")
+    later = matches.join(firsts, "span").filter(start != F.col("a")).select("id", "th", "first", "last").distinct()
+    cuts = tables.keep(islands(later))
+    tables.only(cuts)
+    return cuts
 
 
 def islands(later: DataFrame) -> DataFrame:

@@ -16,17 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Tables, tucked, untucked, words
+from .common import GAP, Tables, let, tucked, untucked, words
 from .lines import islands
 
 GRAM = 8
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once for each row, though body uses it within lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def window_marks(text: Column, least: int) -> tuple[Column, Column]:
     """The mark of every window of a text, in order, and whether a gram repeats in it."""
     gram = min(GRAM, least)
@@ -69,7 +64,9 @@ def repeats(tables: Tables, docs: DataFrame, least: int) -> DataFrame:
     start = F.struct("id", "th", "first")
     firsts = windows.groupBy("window").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("window", "a")
     later = windows.join(firsts, "window").filter(start != F.col("a")).select("id", "th", "first", (F.col("first") + (least - 1)).alias("last")).distinct()
-    return tables.keep(islands(later))
+    cuts = tables.keep(islands(later))
+    tables.only(cuts)
+    return cuts
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
