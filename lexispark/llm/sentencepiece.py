@@ -41,7 +41,7 @@ SLICE = 250
 
 
 class Codec:
-    """Encoder and decoder of one model file. cache: the number of stretches, and half of that of pairs of pieces, beyond which what
+    """Encoder and decoder of one model file. cache: the number of stretches, and half of the number of pairs of pieces, beyond which what
     is known of them is forgotten."""
 
     def __init__(self, content: bytes, cache: int = 200_000):

@@ -218,11 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label); null labels don't count. The sample's ids are broadcast; its texts are written out and weighed before
     the driver reads them: beyond the bounds (long texts, many documents of an id) a smaller share of it is read, and texts larger than
     the bound on their own are none of the sample. Scores are of all texts, whatever their size."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and id is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and id is not null").distinct()
     share = min(1.0, most / max(1, known.count()))
     below = lambda key, part: F.pmod(key, F.lit(1_000_000)) < part * 1_000_000
     sample = known.filter(below(F.xxhash64("id", F.lit(9)), share))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").distinct()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").distinct()  # about `most` rows of three numbers
     found = Tables(docs.sparkSession).keep(found.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))).filter(F.col("bytes") <= most_bytes)
     n, size = found.agg(F.count("*"), F.sum("bytes")).first()
     part = min(1.0, 1.2 * most / max(1, n), most_bytes / max(1, size or 0))

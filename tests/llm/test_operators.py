@@ -822,3 +822,31 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     toxicity.train(docs, labels, most=100)
     toxicity.train(docs, labels, most_bytes=200_000)
     assert seen[0][0] <= 180 and seen[1][1] <= 300_000 and seen[1][0] > 50
+
+
+# Executors
+
+
+def test_operators_travel_with_their_code(tmp_path):
+    """Executors that can't import the package encode, fingerprint, search and score."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})  # of the driver only
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "512m").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from lexispark.llm import ann, sentencepiece, simhash, toxicity
+docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+assert sentencepiece.encode_checked(docs, sentencepiece.read_model(spark, {MODEL!r})).filter("round_trip").count() == 2
+assert simhash.keep_one(docs).count() == 2
+assert toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))).count() == 2
+assert ann.search(spark.createDataFrame([(i, [1.0, i * 1.0]) for i in range(5)], "vec_id long, embedding array<float>"), lambda i: i == 0).count() == 4
+print("DONE")
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("DONE"), out.stderr[-2000:]
