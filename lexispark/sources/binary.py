@@ -121,3 +121,31 @@ def read_csr(spark: SparkSession, path: str) -> DataFrame:
     names = files(spark, path).filter(~F.endswith("path", F.lit("_begin.mmap")))
     begins = files(spark, path.removesuffix(".mmap") + "_begin.mmap").select(F.regexp_replace("path", r"_begin\.mmap$", ".mmap").alias("path"), F.col("content").alias("begins"))
     return names.join(begins, "path").select(F.explode(cut("content", "begins")).alias("name"), F.lit(None).cast("string").alias("target_id"))
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of any store that Spark knows, replaced if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
+def write_binary(name_targets: DataFrame, path: str, fmt: str, most: int = 256 << 20) -> None:
+    """A dictionary as one file, thrift, or two, csr (names only, x.mmap and beside it x_begin.mmap). These formats are made in one
+    piece, so a dictionary of more than `most` bytes is refused before it is collected; Parquet takes any."""
+    spark, rows = name_targets.sparkSession, name_targets.select("name", "target_id").distinct() if fmt == "thrift" else name_targets.select("name").distinct()
+    size = rows.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in rows.columns))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"the dictionary takes {size} bytes, more than {most}")
+    found = [tuple(r) for r in rows.orderBy(*rows.columns).collect()]
+    if fmt == "thrift":
+        if any(t is None for _, t in found):
+            raise ValueError("a binary struct has no names without targets")
+        write_file(spark, path, encode_names(found))
+    else:
+        names, begins = csr_bytes([n for (n,) in found])
+        write_file(spark, path, names)
+        write_file(spark, path.removesuffix(".mmap") + "_begin.mmap", begins)

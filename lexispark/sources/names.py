@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .binary import read_csr, read_thrift
+from .binary import read_csr, read_thrift, write_binary
 
 LONG = "name string, target_id string"
 
@@ -39,5 +39,11 @@ def from_json_maps(texts: DataFrame, inverse: bool = False) -> DataFrame:
     return rows.select(key, F.explode("items").alias(item)).select("name", "target_id")
 
 
-def write_names(name_targets: DataFrame, path: str) -> None:
+def write_names(name_targets: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """fmt: parquet, or a binary format, thrift or csr."""
+    if fmt in ("thrift", "csr"):
+        write_binary(name_targets, path, fmt)
+        return
+    if fmt != "parquet":
+        raise ValueError(f"unknown names format {fmt!r}")
     name_targets.select("name", "target_id").write.mode("overwrite").parquet(path)

@@ -30,8 +30,14 @@ def test_names_formats(spark, tmp_path):
     (tmp_path / "c.mmap").write_bytes(data)
     (tmp_path / "c_begin.mmap").write_bytes(begin)
     assert [r.name for r in read_names(spark, f"{tmp_path}/c.mmap", "csr").collect()] == ["Ann Ek", "Bo Øre"]
-    with pytest.raises(ValueError):
-        read_names(spark, "x", "xml")
+    pairs = read_names(spark, f"{tmp_path}/p", "parquet")
+    write_names(pairs, f"{tmp_path}/q.bin", "thrift")
+    assert rows(read_names(spark, f"{tmp_path}/q.bin", "thrift")) == PAIRS
+    write_names(pairs, f"{tmp_path}/q.mmap", "csr")
+    assert rows(read_names(spark, f"{tmp_path}/q.mmap", "csr").fillna("-")) == [("Ann Ek", "-"), ("Bo Øre", "-")]
+    for bad in (lambda: read_names(spark, "x", "xml"), lambda: write_names(pairs, "x", "xml"), lambda: binary.write_binary(pairs, "x", "csr", most=3)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_decoder_skips_unknown_fields_and_refuses_short_files():
