@@ -110,3 +110,12 @@ def link(chats: DataFrame, schemas=SCHEMAS) -> DataFrame:
     out = linked.join(placed, "uid", "left").join(stuck, "uid", "left")
     is_stuck = F.col("stuck").isNotNull() & (F.col("kind") == "call")
     return out.select("conv_id", "turn", "part", "role", "kind", "call_id", "name", "status", F.when(is_stuck, "cycle").otherwise(F.col("link")).alias("link"), F.when(F.coalesce(F.col("o.t"), F.lit(0)) > -(1 << 62), F.coalesce("o.t", "turn")).alias("order_turn"), F.coalesce("o.level", F.lit(0)).alias("level"), "json")
+
+
+#: For a table of plain messages, as `conversations` is: one row each, in its place, as canonical JSON. Tests hold calls and results
+#: against brute force.
+ORACLE = """
+SELECT conv_id, turn, 0 AS part, role, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS name, 'plain' AS status, 'none' AS link,
+    turn AS order_turn, 0 AS level, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
+FROM conversations
+"""

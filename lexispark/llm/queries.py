@@ -76,6 +76,7 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {
+    "op2_tool_call_linking": chat.ORACLE,
     "op3_source_mixing": mixing.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op6_quality_rules": quality.ORACLE,

@@ -814,11 +814,22 @@ def test_trees_and_features_equal_brute_force():
         assert abs(model.scores([t])[0] - score) < 1e-9
 
 
+def test_scores_of_repeated_rows_and_clashing_columns():
+    rng = random.Random(29)
+    texts = [sentence(rng, 20) + (" you idiot" if i % 3 == 0 else "") for i in range(120)]
+    model = toxicity.fit(texts, np.array([float(i % 3 == 0) for i in range(120)]))
+    twice = model.scores([*texts[:9], *texts[:9]])
+    assert twice[:9].tolist() == twice[9:].tolist()
+
+
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((len(texts), sum(len(t or "") for t in texts))))
     docs = spark.createDataFrame([(i % 50, f"{i} " + "x" * 1000, 1) for i in range(2000)] + [(3, "y" * 10**6, 1), (4, None, 1)], "doc_id long, text string, bytes int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.Model({}, None, np.zeros(1), np.array([0.25]))
+    scored = toxicity.score(docs.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("x")), model).collect()
+    assert len(scored) == 2002 and {(r.score, r.predicted) for r in scored} == {(0.25, 0)}
     toxicity.train(docs, labels, most=100)
     toxicity.train(docs, labels, most_bytes=200_000)
     assert seen[0][0] <= 180 and seen[1][1] <= 300_000 and seen[1][0] > 50
