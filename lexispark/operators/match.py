@@ -128,17 +128,31 @@ def with_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = Ma
     return placed
 
 
+def exploded(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, token_num and the fields of a mention) of rows (id, mentions). An inner explode would have the optimizer ask beforehand
+    whether a list is empty, and find the mentions twice for it."""
+    each = docs.select(id_col, F.posexplode_outer("mentions").alias("token_num", "m")).filter("m is not null")
+    return each.select(id_col, "token_num", "m.*")
+
+
+def filter_made(docs: DataFrame, condition: Column) -> DataFrame:
+    """docs.filter(condition), on columns as they were made: the optimizer would push it below them and make them twice; it doesn't
+    where a random number is among them."""
+    number = "_made"
+    while number in map(str.lower, docs.columns):
+        number = f"_{number}"
+    return docs.withColumn(number, F.rand(0)).filter(condition & (F.col(number) >= 0)).drop(number)
+
+
 def mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, token_num and the fields of a mention): one row per mention. token_num: 0, 1, ... by end and then
     longest first. The strategy follows the size of the dictionary."""
-    found = with_mentions(docs.select(id_col, text), patterns, config, text)
-    return found.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
+    return exploded(with_mentions(docs.select(id_col, text), patterns, config, text), id_col)
 
 
 def joined_mentions(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of mentions by the join, whatever the size of the dictionary."""
-    found = with_mentions(docs.select(id_col, text), patterns, config, text, small=False)
-    return found.select(id_col, F.posexplode("mentions").alias("token_num", "m")).select(id_col, "token_num", "m.*")
+    return exploded(with_mentions(docs.select(id_col, text), patterns, config, text, small=False), id_col)
 
 
 def joined_places(texts: DataFrame, patterns: DataFrame, config: MatchConfig) -> DataFrame:

@@ -117,7 +117,8 @@ def token_mentions(text: Column, name_targets: DataFrame, boundary: str = BOUNDA
 
 def mentions(docs: DataFrame, name_targets: DataFrame, id_col: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, compat: bool = False) -> DataFrame:
     """(id, name, first, length, target_ids): one row per mention, offsets in characters."""
-    return docs.select(id_col, F.explode(token_mentions(F.col(text), name_targets, boundary, compat)).alias("m")).select(id_col, "m.*")
+    found = docs.select(id_col, F.explode_outer(token_mentions(F.col(text), name_targets, boundary, compat)).alias("m"))
+    return found.filter("m is not null").select(id_col, "m.*")
 
 
 def labels(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -40,4 +40,4 @@ def run(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(
     out = {c: F.col(c) if c in records else F.col("row").getField(c) for c in dict.fromkeys((*docs.columns, *records))}
     if config.emit_empties:
         return full.withColumn("kept", kept).select(*[annotate.blank(v, kinds[c], F.col("kept")).alias(c) for c, v in out.items()])
-    return full.filter(kept).select(*[v.alias(c) for c, v in out.items()])
+    return match.filter_made(full, kept).select(*[v.alias(c) for c, v in out.items()])

@@ -352,7 +352,7 @@ def token_labels(spark, d):
 
 @query(f"WITH {TOKEN_FOUND}, each AS (SELECT doc_id, name, first, unnest(string_split(target_ids, ',')) AS target_id FROM tm) SELECT doc_id, string_agg(target_id || ' ' || first, ',' ORDER BY name, first, target_id) AS labels, count(*) AS n_ratings FROM each GROUP BY doc_id")
 def token_labels_nested(spark, d):
-    full = token_match.with_labels(docs(spark, d), token_names(spark)).filter("labels is not null")
+    full = match.filter_made(token_match.with_labels(docs(spark, d), token_names(spark)), F.col("labels").isNotNull())
     entry = lambda c: F.col(c)[MatchConfig.annotator_id]
     spelt = F.transform(entry("labels"), lambda x: F.concat_ws(" ", x["target"]["target_id"], x["first"].cast("string")))
     return full.select("doc_id", F.array_join(spelt, ",").alias("labels"), F.size(entry("ratings")).cast("bigint").alias("n_ratings"))
@@ -369,14 +369,14 @@ def ratings(spark, d):
 @query(f"{R} {FOUND} SELECT doc_id, string_agg(target_id, ',' ORDER BY target_id) AS target_ids FROM rated GROUP BY doc_id")
 def ratings_joined(spark, d):
     p, c = patterns(spark, d, max_broadcast=0)
-    full = matched(docs(spark, d), p, c, VISIBLE).filter(F.size("targets") > 0)
+    full = match.filter_made(matched(docs(spark, d), p, c, VISIBLE), F.size("targets") > 0)
     return full.select("doc_id", F.array_join("targets", ",").alias("target_ids"))
 
 
 @query(f"{R} {FOUND} SELECT doc_id, string_agg(target_id, ',' ORDER BY target_id) AS target_ids FROM rated GROUP BY doc_id")
 def ratings_nested(spark, d):
     p, c = patterns(spark, d)
-    full = annotate.annotated(matched(docs(spark, d), p, c, VISIBLE), c).filter(F.size("targets") > 0)
+    full = match.filter_made(annotate.annotated(matched(docs(spark, d), p, c, VISIBLE), c), F.size("targets") > 0)
     record = F.transform(F.col("ratings")[c.annotator_id], lambda r: r["target"]["target_id"])
     return full.select("doc_id", F.array_join(record, ",").alias("target_ids"))
 

@@ -77,6 +77,18 @@ def test_plan_reads_what_it_needs(spark, data):
     assert "EqualTo(lang,en)" in plan
 
 
+def test_plans_find_mentions_once(spark, data):
+    from lexispark.plans.job import run
+    from lexispark.plans.queries import QUERIES, docs, patterns
+
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    p, c = patterns(spark, data)
+    for name in ("mentions_all", "token_mentions", "filter_docs"):
+        assert count(QUERIES[name](spark, data)) == 1, name
+    assert count(run(docs(spark, data), p, c, {"clean_visible": "text"})) == 2  # mentions, then targets
+    assert count(QUERIES["ratings_nested"](spark, data)) == 2
+
+
 def test_stream_counts_and_rates(spark, tmp_path):
     from lexispark.streaming.match import rates
 
