@@ -97,14 +97,16 @@ def link(chats: DataFrame, schemas=SCHEMAS) -> DataFrame:
     begin = waits.select(F.col("needs").alias("uid")).distinct().join(waits.select("uid").distinct(), "uid", "left_anti").join(turn, "uid")
     ready = tables.keep_part("placed", begin.select("uid", F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")).alias("o")))
     # Each round joins what was placed last with what still waits; `late` is the latest place known of what a row's uid needs.
-    left = tables.keep(waits.withColumn("late", F.lit(None).cast("struct<t:bigint,level:int>")))
+    turns = Tables(tables.spark)
+    left = turns.keep(waits.withColumn("late", F.lit(None).cast("struct<t:bigint,level:int>")))
     while not (left.isEmpty() or ready.isEmpty()):
         seen = left.join(ready.select(F.col("uid").alias("needs"), "o"), "needs", "left")
         known = seen.groupBy("uid").agg(F.count_if(F.col("o").isNull()).alias("open"), F.greatest(F.max("o"), F.max("late")).alias("late"))
-        known = tables.keep(known.join(turn, "uid"))
+        known = turns.keep(known.join(turn, "uid"))
         after = F.when(F.col("late.t") >= F.col("turn"), F.struct(F.col("late.t").alias("t"), (F.col("late.level") + 1).alias("level"))).otherwise(F.struct(F.col("turn").alias("t"), F.lit(0).alias("level")))
-        left = tables.keep(seen.filter("o is null").drop("late", "o").join(known.select("uid", "late"), "uid"))
+        left = turns.keep(seen.filter("o is null").drop("late", "o").join(known.select("uid", "late"), "uid"))
         ready = tables.keep_part("placed", known.filter("open = 0").select("uid", after.alias("o")))
+        turns.only(left)
     placed = tables.parts("placed", ready.schema)
     stuck = left.select("uid").distinct().withColumn("stuck", F.lit(True))
     out = linked.join(placed, "uid", "left").join(stuck, "uid", "left")

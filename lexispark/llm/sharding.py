@@ -55,6 +55,7 @@ def quotas(asked: np.ndarray, load: np.ndarray, room: np.ndarray) -> np.ndarray:
 def propagate(tables: Tables, members: DataFrame, shards: int, room: float, rounds: int) -> DataFrame:
     """(node, shard) for the linked nodes. members: (node, hub, salt, salts), salts being the number of parts in which a
     large hub is joined."""
+    tables = Tables(tables.spark)  # of the rounds
     labels = tables.keep(members.select("node").distinct().withColumn("shard", below(F.col("node"), shards)))
     for k in range(rounds):
         seen = tables.keep(members.join(labels, "node"))
@@ -74,6 +75,7 @@ def propagate(tables: Tables, members: DataFrame, shards: int, room: float, roun
         granted = F.lit(share.ravel())[(F.col("shard") * shards + F.col("wish")).cast("int")]
         move = below(F.concat_ws(":", F.lit(k), "hub"), 1_000_000) < granted * 1_000_000
         labels = tables.keep(wishes.select("node", F.when(move, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        tables.only(labels)
         if not asked.any():
             break
     return labels
