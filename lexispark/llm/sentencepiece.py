@@ -13,8 +13,8 @@ neighbours, and exactly one edge into each node qualifies. Both kinds run throug
 
 No piece of most models reaches over the start of a word mark that follows another character. There a single node survives, all
 paths converge, and the window starts empty: what is committed for the stretch up to the next such boundary
-hangs on that stretch alone. So the stretches of some texts go through the window together, in order, those with
-equal beginnings sharing their nodes, and a bounded memo keeps the ids of each.
+hangs on that stretch alone. So the stretches of some texts go through the window together, those with
+equal beginnings sharing their nodes (lattice.py), and a bounded memo keeps the ids of each.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.worker import once
 
 from .common import tucked, untucked
+from .lattice import Lattices
 
 MARK = "▁"
 BPE = 2
@@ -66,10 +67,13 @@ class Codec:
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         #: Stretches that no piece leaves: a run of marks with what follows it up to the next mark. Else whole texts.
         self.stretches = None if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        #: Characters that are in no piece are stretches of their own.
+        self.runs = re.compile((lambda known: f"[{known}]+|[^{known}]")("".join(map(re.escape, sorted(set().union(*self.ids))))), re.DOTALL)
         self.pairs, self.n_pairs = {}, 0
         self.merged: dict[str, tuple[str, str]] = {}  # of pieces of the vocabulary only
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.lattices: Lattices | None = None
         self.cache = cache
 
     def parts(self, piece: str) -> tuple[str, str]:
@@ -150,12 +154,11 @@ class Codec:
             known = after[b] = self.stay_apart(a, b)
         return known
 
-    def stream(self, text: str, back: list | None = None):
-        """Yields committed runs of pieces of a stretch. back: its first nodes, one a character and one for the begin, no
-        more than fit into a window; they are changed."""
+    def stream(self, text: str):
+        """Yields committed runs of pieces of a stretch."""
         far, edge, end = self.longest, self.edge, len(text)
-        back, base = back or [("", 0.0)], 0
-        for at in range(len(back), end + 1):
+        back, base = [("", 0.0)], 0
+        for at in range(1, end + 1):
             back.append(edge(text, at, back, base))
             if at - base > far and at < end:
                 meet = self.meeting(back, base, at)
@@ -184,25 +187,45 @@ class Codec:
         run.reverse()
         return run
 
-    def committed(self, stretches: list[str]):
-        """Yields (stretch, ids) for sorted stretches; the first nodes that one shares with the one before stay."""
-        edge, path, numbered, far = self.edge, self.path, self.numbered, self.longest
-        before, back = "", [("", 0.0)]
-        for text in stretches:
-            same = 0
-            for x, y in zip(text, before, strict=False):
-                if x != y or same == far:
-                    break
-                same += 1
-            del back[same + 1 :]
-            before = text
-            if len(text) <= far:  # one window holds it: nothing is committed before its end
-                for at in range(same + 1, len(text) + 1):
-                    back.append(edge(text, at, back, 0))
-                yield text, numbered(path(back, len(text)))
-            else:
-                yield text, b"".join(map(numbered, self.stream(text, back[:])))
-                before = text[:same]
+    def together(self, stretches) -> dict[str, bytes]:
+        """The ids of those stretches that fit into one window, of which nothing is committed before the end; only for models of the
+        BPE type and characters that are pieces."""
+        some = sorted(x for x in stretches if len(x) <= self.longest) if self.bpe else []
+        if not some:
+            return {}
+        if self.lattices is None:
+            self.lattices = Lattices([p if i == self.ids.get(p) else None for i, p in enumerate(self.pieces)], lambda a, b: self.stay_apart(self.pieces[a], self.pieces[b]), 2 * self.cache)
+        known, ids, counts = self.lattices.encode(some)
+        content, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return {x: content[a:b] for x, good, a, b in zip(some, known.tolist(), [0, *ends], ends, strict=False) if good}
+
+    def committed(self, keys) -> dict[str, bytes]:
+        """The ids of stretches. Those that fit into a window go through it together. The others fall apart at characters that are in
+        no piece; what of them is still longer than the window goes through it on its own."""
+        texts = {key: self.whole(key) for key in keys}
+        done = self.together(texts.values())
+        apart = {x: self.runs.findall(x) for x in texts.values() if x not in done}
+        parts = set().union(*apart.values()).difference(done)
+        done |= self.together(parts)
+        for x in parts:
+            if x not in done:
+                done[x] = b"".join(map(self.numbered, self.stream(x)))
+        for x, runs in apart.items():
+            done[x] = b"".join([done[r] for r in runs])
+        return {key: done[x] for key, x in texts.items()}
+
+    def keys(self, text: str) -> list[str]:
+        """The stretches of a text; the one mark at the begin of a stretch is left out where every text begins with a mark."""
+        if not self.stretches:
+            return [(MARK if self.prefix else "") + text.replace(" ", MARK)]
+        if not self.prefix:
+            return self.stretches.findall(text.replace(" ", MARK))
+        if text[0] != " " != text[-1] and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [x[1:] if x[1:2] not in ("", MARK) else x for x in self.stretches.findall(MARK + text.replace(" ", MARK))]
+
+    def whole(self, key: str) -> str:
+        return MARK + key if self.prefix and self.stretches and key[0] != MARK else key
 
     def numbered(self, pieces: list[str]) -> bytes:
         """The ids of pieces, 4 bytes each; those that are not in the vocabulary are single characters."""
@@ -231,15 +254,16 @@ class Codec:
         return out + self.encode_some(held)
 
     def encode_some(self, texts) -> list[np.ndarray]:
-        marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
-        lists = [self.stretches.findall(t) if self.stretches else [t] * bool(t) for t in marked]
+        lists = [self.keys(t) if t else [] for t in texts]
         if len(self.known) > self.cache // 2:  # what has not been met since the last time goes
             self.old, self.known = self.known, {}
         known, used = self.known, set().union(*lists)
         known.update((x, self.old[x]) for x in used.intersection(self.old) if x not in known)
-        new = sorted(used.difference(known))
+        new = used.difference(known)
         known.update(self.committed(new))
         out = [np.frombuffer(b"".join([known[x] for x in own]), np.int32) for own in lists]
+        if not self.byte_of:  # unknown characters in a row have one id
+            out = [x[np.concatenate(([True], (x[1:] != self.unknown) | (x[:-1] != self.unknown)))[: len(x)]] for x in out]
         for x in new:
             if len(x) > KEPT:
                 del known[x]

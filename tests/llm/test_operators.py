@@ -779,6 +779,8 @@ def test_unigram_models_equal_the_library(inner):
     texts = ["".join(rng.choice("aaabbc ") for _ in range(rng.randrange(1, 200))) for _ in range(200)]
     for t, ids in zip(texts, codec.encode_all(texts), strict=True):
         assert ids.tolist() == library.encode(t) and codec.decode(ids) == t
+    for t in ("", "x", "axxb", "  é\n\nabc日本a", "ab" * 200 + "?" + "c" * 300):
+        assert codec.encode(t).tolist() == library.encode(t)
 
 
 # 9
