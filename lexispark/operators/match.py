@@ -49,39 +49,50 @@ def named(names: list[str]) -> tuple[str, tuple[str, ...]]:
 
 def hits(machine, text: str, lengths: np.ndarray) -> np.ndarray:
     """(end, -length, id) of each hit, in order of end and then longest first."""
-    found = [(end + 1, -lengths[i], i) for end, i in machine.iter(text)] if len(machine) else []
-    return np.array(sorted(found), np.int64).reshape(-1, 3)
+    found = np.array(list(machine.iter(text)) if len(machine) else [], np.int64).reshape(-1, 2)
+    ends, ids = found[:, 0] + 1, found[:, 1]
+    order = np.lexsort((ids, -lengths[ids], ends))
+    return np.stack((ends, -lengths[ids], ids), 1)[order]
 
 
-def mentions_at(text: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: str) -> list[dict]:
-    """Mentions at normalized places, with their places in the source."""
-    back, at = origins(text, how), byte_offsets(text)
-    a, b = back[starts], back[ends]
-    columns = (x.tolist() for x in (ids, starts, ends, a, b, at[a], at[b]))
-    return [{"pattern_id": i, "norm_start": s, "norm_end": e, "start_byte": p, "end_byte": q, "start_char": x, "end_char": y, "value": text[x:y]} for i, s, e, x, y, p, q in zip(*columns, strict=True)]
+def listed(found, how: str):
+    """An Arrow list of mentions for each (text, pattern ids, normalized starts, normalized ends); source places are worked out
+    for texts with a mention only."""
+    import pyarrow as pa
 
+    columns, values, lengths = [[np.empty(0, np.int64)] for _ in range(7)], [], [0]
+    for text, ids, starts, ends in found:
+        lengths.append(len(ids))
+        if len(ids):
+            back, at = origins(text, how), byte_offsets(text)
+            a, b = back[starts], back[ends]
+            for column, x in zip(columns, (ids, starts, ends, at[a], at[b], a, b), strict=True):
+                column.append(x)
+            values += [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    flat = [pa.array(np.concatenate(c).astype(np.int32)) for c in columns]
+    names = [f.split()[0] for f in MENTION.split(", ")]
+    return pa.ListArray.from_arrays(np.cumsum(lengths, dtype=np.int32), pa.StructArray.from_arrays([*flat, pa.array(values, pa.string())], names))
+
+
+def finder(names: list[str], how: str):
+    """A function from a text to (text, pattern ids, normalized starts, normalized ends). how: `unicode`, `ascii` or `none`."""
+    key, names = named(names)
+    lengths = np.array([len(n) for n in names], np.int64)
 
-def arrow_type():
-    import pyarrow as pa
+    def find(text):
+        found = hits(automaton(key, names), fold(text, how) if text else "", lengths)
+        return text, found[:, 2], found[:, 0] + found[:, 1], found[:, 0]
 
-    kinds = {"int": pa.int32(), "string": pa.string()}
-    return pa.list_(pa.struct([(n, kinds[t]) for n, t in (f.split() for f in MENTION.split(", "))]))
+    return find
 
 
 def matcher(names: list[str], how: str):
-    """A column function from a text to its mentions. how: `unicode`, `ascii` or `none`."""
-    key, names = named(names)
-    lengths = np.array([len(n) for n in names], np.int64)
-
-    def mentions_of(text):
-        found = hits(automaton(key, names), fold(text, how), lengths) if text else ()
-        return mentions_at(text, found[:, 2], found[:, 0] + found[:, 1], found[:, 0], how) if len(found) else []
+    """A column function from a text to its mentions."""
+    find = finder(names, how)
 
     @F.arrow_udf(MENTIONS)
     def mentions(texts):
-        import pyarrow as pa
-
-        return pa.array([mentions_of(t) for t in texts.to_pylist()], arrow_type())
+        return listed(map(find, texts.to_pylist()), how)
 
     return mentions
 
@@ -193,13 +204,8 @@ def located(how: str):
 
     @F.arrow_udf(MENTIONS)
     def place(texts, found):
-        import pyarrow as pa
-
-        out = []
-        for text, rows in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            columns = [np.array([r[k] for r in rows or ()], np.int64) for k in ("pattern_id", "norm_start", "norm_end")]
-            out.append(mentions_at(text, *columns, how) if rows else [])
-        return pa.array(out, arrow_type())
+        places = ([np.array([r[k] for r in rows or ()], np.int64) for k in ("pattern_id", "norm_start", "norm_end")] for rows in found.to_pylist())
+        return listed(((text, *three) for text, three in zip(texts.to_pylist(), places, strict=True)), how)
 
     return place
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.normalize import decoded_prefix, fold, normalized
-from lexispark.operators.match import automaton, collected, fits, hits, matcher, mentions_at, named
+from lexispark.functions.normalize import decoded_prefix, normalized
+from lexispark.operators.match import collected, finder, fits, listed, matcher
 
 from .config import MatchConfig
 
@@ -22,19 +21,17 @@ def register(spark: SparkSession, patterns: DataFrame | None = None, config: Mat
             raise ValueError("the dictionary is larger than max_broadcast; join it by match.mentions")
         names = collected(patterns)
         spark.udf.register("lexi_mentions", matcher(names, config.normalize))
-        spark.udtf.register("lexi_find", finder(names, config.normalize))
+        spark.udtf.register("lexi_find", table_function(names, config.normalize))
 
 
-def finder(names: list[str], how: str):
+def table_function(names: list[str], how: str):
     """A table function of a text: one row per mention."""
-    key, names = named(names)
-    lengths = np.array([len(n) for n in names], np.int64)
+    find = finder(names, how)
 
     @F.udtf(returnType="pattern_id int, start_char int, end_char int, value string")
     class Find:
         def eval(self, text: str):
-            found = hits(automaton(key, names), fold(text, how), lengths) if text else ()
-            for m in mentions_at(text, found[:, 2], found[:, 0] + found[:, 1], found[:, 0], how) if len(found) else ():
+            for m in listed([find(text)], how)[0].as_py():
                 yield m["pattern_id"], m["start_char"], m["end_char"], m["value"]
 
     return Find
