@@ -32,6 +32,8 @@ FEATURES = ("hits", "distinct", "weight", "highest", "seeds", "near_you", "you",
 TOKEN = re.compile(r"\w+")
 HIDDEN = re.compile(r"[^\W\d_][@$*!#0-9|][^\W\d_]")
 NEAR = 4
+#: Toxic texts in which a term of the lexicon has to be found.
+LEAST = 3
 
 
 def tokens(text: str | None) -> list[str]:
@@ -44,19 +46,21 @@ def terms(words: list[str]) -> set[str]:
     return known | {"<" + w[:5] for w in known if len(w) > 5}
 
 
-def learn_lexicon(texts: list[set[str]], labels: np.ndarray, least: int = 3) -> dict[str, float]:
-    """Log odds of terms found in `least` toxic texts or more, where they are 2 or more and 3 standard errors above 0."""
-    bad, good = int(labels.sum()), int(len(labels) - labels.sum())
-    there = Counter(t for x, y in zip(texts, labels, strict=True) if y for t in x)
-    there = {t: n for t, n in there.items() if n >= least}
-    elsewhere = Counter(t for x, y in zip(texts, labels, strict=True) if not y for t in x if t in there)
-    out = {}
-    for t, n in there.items():
-        m = elsewhere[t]
-        odds = math.log((n + 0.5) / (bad + 1)) - math.log((m + 0.5) / (good + 1))
-        if odds >= 2 and odds >= 3 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)):
-            out[t] = min(odds, 6.0)
-    return out
+def candidates(texts: list[str | None], labels: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    """The terms found in LEAST toxic texts or more, and the numbers of those in each text. Words are made anew for each text
+    where they are needed: those of all texts would take many times the room of the texts."""
+    there = Counter(t for x, y in zip(texts, labels, strict=True) if y for t in terms(tokens(x)))
+    number = {t: k for k, t in enumerate(sorted(t for t, n in there.items() if n >= LEAST))}
+    return list(number), [np.array(sorted(number[t] for t in terms(tokens(x)) if t in number), np.int64) for x in texts]
+
+
+def learn_lexicon(names: list[str], has: list[np.ndarray], labels: np.ndarray, rows: np.ndarray) -> dict[str, float]:
+    """Log odds of terms found in LEAST toxic texts of some rows or more, where they are 2 or more and 3 standard errors above 0."""
+    bad, good = (rows[labels[rows] == y] for y in (1, 0))
+    n, m = (np.bincount(np.concatenate([np.empty(0, np.int64), *(has[i] for i in part)]), minlength=len(names)) for part in (bad, good))
+    odds = np.log((n + 0.5) / (len(bad) + 1)) - np.log((m + 0.5) / (len(good) + 1))
+    chosen = (n >= LEAST) & (odds >= 2) & (odds >= 3 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)))
+    return {names[k]: min(float(odds[k]), 6.0) for k in np.flatnonzero(chosen)}
 
 
 def features(text: str | None, words: list[str], lexicon: dict[str, float]) -> list[float]:
@@ -198,19 +202,17 @@ def fit(texts: list[str | None], labels: np.ndarray, folds: int = 5) -> Model:
     y = np.asarray(labels, float)
     if len(y) < 2 * folds or y.min() == y.max():
         return Model({}, None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
-    words = [tokens(t) for t in texts]
-    sets = [terms(w) for w in words]
+    names, has = candidates(texts, y)
     fold = np.arange(len(y)) % folds
     x = np.zeros((len(y), len(FEATURES)))
     for k in range(folds):
-        seen = np.flatnonzero(fold != k)
-        lexicon = learn_lexicon([sets[i] for i in seen], y[seen])
+        lexicon = learn_lexicon(names, has, y, np.flatnonzero(fold != k))
         for i in np.flatnonzero(fold == k):
-            x[i] = features(texts[i], words[i], lexicon)
+            x[i] = features(texts[i], tokens(texts[i]), lexicon)
     margin = np.zeros(len(y))
     for k in range(folds):
         margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(learn_lexicon(sets, y), fit_trees(x, y), *isotonic(margin, y))
+    return Model(learn_lexicon(names, has, y, np.arange(len(y))), fit_trees(x, y), *isotonic(margin, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8000, most_bytes: int = 32_000_000) -> Model:
