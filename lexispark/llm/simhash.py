@@ -37,6 +37,9 @@ from .common import Tables, components, tucked, untucked
 PAIRED = 64
 #: Fingerprints of a block, on average.
 BLOCK = 256
+#: Fingerprints in a sample that hot keys are looked for in, how often one occurs there, and the parts in which its rows are counted. At most
+#: SAMPLED times the keys of a fingerprint (66 or 272) over HOT keys are hot, whatever the size of the corpus.
+SAMPLED, HOT, PARTS = 20_000, 64, 64
 #: Where there are several lanes, so many bits of a segment flip alone, in twos and in threes: those that were the closest calls. At a
 #: similarity of 0.8 these 17 values meet in some of 16 segments for 97 % of pairs, 17 values of 16 bits that flip alone for 85 % (simulated).
 ALONE, TWOS, THREES = 10, 4, 0
@@ -131,6 +134,27 @@ def segment_keys(fps: DataFrame, lanes: int) -> DataFrame:
     return rows.select("node", (F.shiftleft(F.col("segment").cast("long"), 32) + F.col("part").bitwiseXOR(F.col("flip"))).alias("key"), "flip")
 
 
+def met_rows(tables: Tables, fps: DataFrame, lanes: int) -> DataFrame:
+    """(key, node, flip, met, hub): the segment keys that several nodes have, how many have them and the smallest of these.
+
+    The rows of a key are counted in one task, but for hot keys, which many fingerprints of a bounded sample have: theirs are counted
+    in PARTS parts first, and the parts are summed."""
+    share = min(1.0, SAMPLED / max(1, fps.count()))
+    sample = fps.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < (1 << 20) * share)
+    hot = tables.keep(segment_keys(sample, lanes).groupBy("key").count().filter(F.col("count") >= HOT).select(F.col("key").alias("hot")))
+    # The part stands above the key's 36 bits; 0 for all others.
+    part = F.when(F.col("hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("node", F.lit(8)), F.lit(PARTS)) + 1)
+    rows = segment_keys(fps, lanes).join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    rows = rows.select("node", (F.col("key") + F.shiftleft(part, 40)).alias("key"), "flip")
+    bucket, is_hot = Window.partitionBy("key"), F.col("key") >= 1 << 40
+    counted = rows.withColumns({"met": F.count("*").over(bucket), "hub": F.min("node").over(bucket)}).filter((F.col("met") > 1) | is_hot)
+    counted = tables.keep(counted.select("key", "node", "flip", "met", "hub"))
+    parted = counted.filter(is_hot).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+    whole = parted.groupBy("key").agg(F.count("*").alias("met"), F.min("hub").alias("hub")).filter("met > 1")
+    summed = parted.drop("met", "hub").join(F.broadcast(whole), "key")
+    return counted.filter(~is_hot).unionByName(summed)
+
+
 def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Edges (a, b) between nodes of fps (node long, fp array<bigint>) that give the groups of all pairs within
     radius. For one lane, where the node is the fingerprint, this is exact at radius 4. With more lanes two
@@ -138,8 +162,7 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
     large the bucket is."""
     if lanes == 1 and radius != 4:
         raise ValueError("with one lane the radius is 4: balls of radius 2 meet up to a distance of 4")
-    met = segment_keys(fps, lanes).withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1")
-    met = tables.keep(met)
+    met = met_rows(tables, fps, lanes)
     a, b = (met.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "flip")]) for side in "ab")
     crowded = met.filter(F.col("met") > PAIRED)
     pairs = a.join(b, "key").filter(F.col("node_a") < F.col("node_b"))
@@ -153,8 +176,8 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
         pairs = pairs.filter((value == F.least(*between)) & (F.bit_count(F.col("node_a").bitwiseXOR(F.col("node_b"))) <= radius)).select(*ends)
         wide = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
         balls = crowded.select("node").distinct().withColumn("flip", F.explode(F.lit(np.array([signed(x) for x in wide], np.int64))))
-        hub = F.min("node").over(Window.partitionBy("value"))
-        near = balls.select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("value")).withColumn("hub", hub)
+        near = balls.select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("value"))
+        near = near.join(near.groupBy("value").agg(F.min("node").alias("hub")), "value")
         return pairs.union(near.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
     return starred(tables, fps, met, lanes, radius)
 
@@ -170,11 +193,10 @@ def starred(tables: Tables, fps: DataFrame, met: DataFrame, lanes: int, radius:
         both = pairs.distinct().join(at("a"), "a").join(at("b"), "b")
         return both.filter(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= radius).select("a", "b")
 
-    bucket = Window.partitionBy("key")
-    stars = tables.keep(verified(met.select(F.min("node").over(bucket).alias("a"), F.col("node").alias("b")).filter("a <> b")))
+    stars = tables.keep(verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).filter("a <> b")))
     more = met.filter("met > 2").join(components(tables, stars), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = more.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).filter("low <> high")
-    more = tables.keep(more.select("key", "node", "flip", "met", "comp"))
+    mixed = more.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "node").alias("own")).filter("low <> high")
+    more = tables.keep(more.join(mixed.select("key", "own"), "key").select("key", "node", "flip", "met", "comp", "own"))
     a, b = (more.filter(F.col("met") <= PAIRED).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "flip", "comp")]) for side in "ab")
     # Equal segments meet under every flip; the pair is taken without one, where all pairs are compared too.
     once = (F.col("flip_a") != F.col("flip_b")) | (F.col("flip_a") == 0)
@@ -183,12 +205,11 @@ def starred(tables: Tables, fps: DataFrame, met: DataFrame, lanes: int, radius:
 
 
 def crossed(crowded: DataFrame, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Edges (a, b) within the radius between groups that meet in crowded buckets (key, node, met, comp): for two blocks
-    of a bucket, one of each two groups, which join no more by the others. All pairs are compared but those within the group of
+    """Edges (a, b) within the radius between groups that meet in crowded buckets (key, node, met, comp, own): for two blocks
+    of a bucket, one of each two groups, which join no more by the others. All pairs are compared but those within `own`, the group of
     the bucket's smallest node, which is mostly by far the largest: one side leaves it out."""
-    hub = F.min_by("comp", "node").over(Window.partitionBy("key"))
     count = F.ceil(F.col("met") / BLOCK).cast("int")
-    rows = crowded.withColumns({"hub": hub, "count": count, "block": F.pmod(F.xxhash64("node", "key"), count).cast("int")})
+    rows = crowded.withColumns({"count": count, "block": F.pmod(F.xxhash64("node", "key"), count).cast("int")})
     rows = rows.join(fps.select("node", F.slice("fp", 1, lanes).alias("fp")), "node")
 
     def blocks(some: DataFrame, side: str) -> DataFrame:
@@ -196,10 +217,12 @@ def crossed(crowded: DataFrame, fps: DataFrame, lanes: int, radius: int) -> Data
         return found.select("key", "block", "count", *[x.alias(f"{c}_{side}") for c, x in (("node", F.col("m.node")), ("comp", F.col("m.comp")), ("fp", F.flatten("m.fp")))])
 
     # Each block of the outer ones goes to every block of its bucket, dealt by bucket and block.
-    outer = blocks(rows.filter("comp <> hub"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
+    outer = blocks(rows.filter("comp <> own"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
     both = outer.join(blocks(rows, "b").drop("count"), ["key", "block"])
     columns = [f"{c}_{side}" for side in "ab" for c in ("node", "comp", "fp")]
-    return both.select(F.explode(near_pairs(lanes, radius)(*columns)).alias("e")).select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
+    # An inner explode would have the optimizer ask beforehand whether a list is empty, and compare twice for it.
+    found = both.select(F.explode_outer(near_pairs(lanes, radius)(*columns)).alias("e")).filter("e is not null")
+    return found.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
 
 
 def near_pairs(lanes: int, radius: int):

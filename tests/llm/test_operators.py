@@ -189,9 +189,10 @@ def test_simhash_equals_brute_force(spark, docs, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("paired", [2, 64])
-def test_links_give_all_groups_in_small_and_crowded_buckets(spark, monkeypatch, paired):
-    monkeypatch.setattr(simhash, "PAIRED", paired)
+@pytest.mark.parametrize(("paired", "hot"), [(2, 64), (64, 64), (2, 3), (64, 2)])
+def test_links_give_all_groups_in_small_and_crowded_buckets(spark, monkeypatch, paired, hot):
+    for name, value in (("PAIRED", paired), ("HOT", hot), ("SAMPLED", 75 if hot < 64 else 20_000)):
+        monkeypatch.setattr(simhash, name, value)
     rng, values = random.Random(paired), set()
     for _ in range(6):
         centre = rng.getrandbits(64)
@@ -223,8 +224,10 @@ def test_keep_one_catches_similar_texts(spark):
     assert {900} == set(kept) - set(range(120))  # texts without words are one group
 
 
-def test_crowded_buckets_lose_no_link(spark):
-    """600 fingerprints in one bucket, 300 pairs that are near and share no other."""
+@pytest.mark.parametrize("hot", [64, 10_000])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, hot):
+    """600 fingerprints in one bucket, counted in parts or not, 300 pairs that are near and share no other."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(12)
     rows = []
     for i in range(300):
