@@ -756,6 +756,21 @@ def test_encode_checked_equals_the_library(spark):
         assert r.ids == library.encode(texts[r.doc_id] or "") and r.round_trip and r.both == "x"
 
 
+def test_table_equals_a_dictionary():
+    from lexispark.llm.lattice import Table
+
+    rng = np.random.default_rng(4)
+    table, known = Table(bits=2), {}
+    for _ in range(30):
+        keys = rng.integers(0, 4000, 60) * 2**40 % 2**62
+        assert table.get(keys).tolist() == [known.get(k, -1) for k in keys.tolist()]
+        new = np.array([k for k in np.unique(keys).tolist() if k not in known], np.int64)
+        values = rng.integers(0, 9, len(new)).astype(np.int32)
+        table.put(new, values)
+        known |= dict(zip(new.tolist(), values.tolist(), strict=True))
+    assert table.get(np.array(list(known), np.int64)).tolist() == list(known.values()) and len(known) > 900
+
+
 def unigram(pieces):
     from sentencepiece import sentencepiece_model_pb2
 
