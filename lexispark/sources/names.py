@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.request import urlopen
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .binary import read_csr, read_thrift, write_binary
+from lexispark.plans.scratch import scratch
+
+from .binary import read_csr, read_thrift, write_binary, write_file
 
 LONG = "name string, target_id string"
 
@@ -15,8 +19,11 @@ def read_names(spark: SparkSession, path: str, fmt: str = "json", strip_cr: bool
 
     lines: one name a line, without targets; the last line counts without a line end too; empty lines don't. strip_cr
     takes CR off line ends. json: one object target_id -> names; json_inverse: name -> target_ids. thrift: a binary struct of both maps. csr: a file of
-    names one after the other, and beside it their offsets. parquet: a table that write_names has written.
+    names one after the other, and beside it their offsets. parquet: a table that write_names has written. A path of
+    http: or https: is downloaded by the driver first (one file; not csr or parquet).
     """
+    if path.startswith(("http:", "https:")):
+        path = downloaded(spark, path)
     if fmt == "lines":
         names = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("name"))
         names = names.withColumn("name", F.regexp_replace("name", "\r$", "")) if strip_cr else names
@@ -32,6 +39,17 @@ def read_names(spark: SparkSession, path: str, fmt: str = "json", strip_cr: bool
     raise ValueError(f"unknown names format {fmt!r}")
 
 
+def downloaded(spark: SparkSession, url: str, most: int = 256 << 20) -> str:
+    """The path of a copy in the shared folder."""
+    with urlopen(url) as response:
+        content = response.read(most + 1)
+    if len(content) > most:
+        raise ValueError(f"{url} has more than {most} bytes")
+    path = f"{scratch(spark)}/names"
+    write_file(spark, path, content)
+    return path
+
+
 def from_json_maps(texts: DataFrame, inverse: bool = False) -> DataFrame:
     """name_targets from JSON objects in the column value."""
     key, item = ("name", "target_id") if inverse else ("target_id", "name")

@@ -40,6 +40,25 @@ def test_names_formats(spark, tmp_path):
             bad()
 
 
+def test_names_are_downloaded(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    from lexispark.sources.names import downloaded
+
+    (tmp_path / "n.txt").write_text("Ann Ek\nBo Øre")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=tmp_path))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/n.txt"
+    try:
+        assert rows(read_names(spark, url, "lines").fillna("-")) == [("Ann Ek", "-"), ("Bo Øre", "-")]
+        with pytest.raises(ValueError):
+            downloaded(spark, url, most=3)
+    finally:
+        server.shutdown()
+
+
 def test_decoder_skips_unknown_fields_and_refuses_short_files():
     extra = bytes([binary.I32, 0, 9, 0, 0, 0, 5]) + bytes([binary.LIST, 0, 8, binary.BYTE, 0, 0, 0, 1, 7])
     content = binary.encode_names(PAIRS)
