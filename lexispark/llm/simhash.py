@@ -177,7 +177,8 @@ def links(tables: Tables, fps: DataFrame, lanes: int, radius: int) -> DataFrame:
         wide = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
         balls = crowded.select("node").distinct().withColumn("flip", F.explode(F.lit(np.array([signed(x) for x in wide], np.int64))))
         near = balls.select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("value"))
-        near = near.join(near.groupBy("value").agg(F.min("node").alias("hub")), "value")
+        # The planner takes these rows for as few as the nodes and would broadcast them.
+        near = near.hint("merge").join(near.groupBy("value").agg(F.min("node").alias("hub")).hint("merge"), "value")
         return pairs.union(near.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
     return starred(tables, fps, met, lanes, radius)
 
