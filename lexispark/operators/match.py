@@ -192,9 +192,10 @@ def joined_places(texts: DataFrame, patterns: DataFrame, config: MatchConfig) ->
     places = places.select("key", "begin", "at", F.explode(stems).alias("s")).select("key", "begin", "at", "s.n", "s.h")
     met = places.join(names.select("h").distinct(), "h", "left_semi").groupBy("key", "begin").agg(F.collect_list(F.struct("at", "n", "h")).alias("met"))
     ahead = F.element_at(F.create_map(*[F.lit(x) for n in sorted(lengths) for x in (n, lengths[n])]), F.col("m.n"))
-    near = pieces.join(met, ["key", "begin"]).select("key", "begin", "piece", F.explode("met").alias("m"))
+    # Merged: the planner takes exploded rows for few and could broadcast them.
+    near = pieces.hint("merge").join(met, ["key", "begin"]).select("key", "begin", "piece", F.explode("met").alias("m"))
     near = near.select("key", (F.col("begin") + F.col("m.at") - 1).alias("start"), "m.h", F.substr("piece", F.col("m.at"), ahead).alias("ahead"))
-    found = near.join(names.select("h", "norm_name", "pattern_id"), "h").filter(F.startswith("ahead", F.col("norm_name")))
+    found = near.hint("merge").join(names.select("h", "norm_name", "pattern_id"), "h").filter(F.startswith("ahead", F.col("norm_name")))
     found = found.select("key", "pattern_id", F.col("start").cast("int").alias("start"), (F.col("start") + size).cast("int").alias("end"))
     return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("end").alias("norm_end"), (F.col("start") - F.col("end")).alias("less"), "pattern_id", F.col("start").alias("norm_start")))).alias("found"))
 
