@@ -219,7 +219,7 @@ def crossed(crowded: DataFrame, fps: DataFrame, lanes: int, radius: int) -> Data
 
     # Each block of the outer ones goes to every block of its bucket, dealt by bucket and block.
     outer = blocks(rows.filter("comp <> own"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
-    both = outer.join(blocks(rows, "b").drop("count"), ["key", "block"])
+    both = outer.hint("merge").join(blocks(rows, "b").drop("count").hint("merge"), ["key", "block"])
     columns = [f"{c}_{side}" for side in "ab" for c in ("node", "comp", "fp")]
     # An inner explode would have the optimizer ask beforehand whether a list is empty, and compare twice for it.
     found = both.select(F.explode_outer(near_pairs(lanes, radius)(*columns)).alias("e")).filter("e is not null")
