@@ -13,7 +13,8 @@ class MatchConfig:
     as read. duplicates: `first` keeps the first name (by bytes) of those that normalize alike and loses the others' targets, `union` keeps all
     targets. normalize: `unicode`, `ascii` or `none`. negate keeps the documents without a mention;
     emit_empties blanks those not kept instead of dropping them. max_items is the number of documents read.
-    max_broadcast bounds the bytes of names and targets that go to every worker; larger dictionaries are joined."""
+    max_broadcast bounds the bytes of names and targets that go to every worker, where the automaton takes some 40 times the bytes of
+    its names; larger dictionaries are joined."""
 
     names_path: str | None = None
     names_format: str = "json"
@@ -27,7 +28,7 @@ class MatchConfig:
     emit_empties: bool = False
     max_items: int | None = None
     annotator_id: str = "lexispark"
-    max_broadcast: int = 64 << 20
+    max_broadcast: int = 8 << 20
 
     def __post_init__(self):
         for name, value, allowed in (("text_source", self.text_source, SOURCES), ("duplicates", self.duplicates, ("first", "union")), ("normalize", self.normalize, ("unicode", "ascii", "none")), ("names_format", self.names_format, ("json", "json_inverse", "lines", "thrift", "csr", "parquet"))):
