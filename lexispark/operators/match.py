@@ -216,15 +216,15 @@ def events(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.groupBy(id_col, "norm_end").agg(F.max_by("pattern_id", F.col("norm_end") - F.col("norm_start")).alias("pattern_id"), F.count("*").alias("match_num"))
 
 
-def has_mention(docs: DataFrame, patterns: DataFrame, config: MatchConfig, text: str = "text") -> Column | None:
-    """Whether a row has a mention, if the dictionary is small; else null."""
+def has_mention(patterns: DataFrame, config: MatchConfig, text: str = "text") -> Column | None:
+    """Whether a row has a mention, as a column if the dictionary is small; else None."""
     return any_matcher(collected(patterns), config.normalize)(F.col(text)) if fits(patterns, config) else None
 
 
 def keep_documents(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), text: str = "text") -> DataFrame:
     """The documents with a mention, or, negated, those without. A small dictionary's search of a text ends at the first
     mention; a larger one is joined, and the rows of docs semi- or anti-joined on the hash of their text."""
-    some = has_mention(docs, patterns, config, text)
+    some = has_mention(patterns, config, text)
     if some is not None:
         return docs.filter(~some if config.negate else some)
     refuse_stream(docs)

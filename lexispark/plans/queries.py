@@ -397,8 +397,8 @@ def sentences_nested(spark, d):
 @query(f"WITH {PAT}, {ND}, k AS (SELECT doc_id FROM nd WHERE EXISTS (SELECT 1 FROM pat WHERE contains(t, norm_name))) SELECT CASE WHEN k.doc_id IS NULL THEN '' ELSE d.doc_id::VARCHAR END AS doc_id, CASE WHEN k.doc_id IS NULL THEN '' ELSE d.text END AS text FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id")
 def emit_empties(spark, d):
     p, c = patterns(spark, d)
-    found = match.with_mentions(docs(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")), p, c)
-    return annotate.blank_unmatched(found, F.size("mentions") > 0).select("doc_id", "text")
+    found = docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text", match.has_mention(p, c).alias("kept"))
+    return annotate.blank_unmatched(found, F.col("kept")).select("doc_id", "text")
 
 
 @query(f"{R} {FOUND} SELECT (SELECT count(*) FROM documents) AS processed, (SELECT count(DISTINCT doc_id) FROM found) AS matched, (SELECT count(DISTINCT doc_id) FROM found) AS written, (SELECT count(*) FROM found) AS mentions, (SELECT count(*) FROM rated) AS ratings, (SELECT count(*) FROM rated)::DOUBLE / (SELECT count(DISTINCT doc_id) FROM found) AS ratings_per_written")
