@@ -21,8 +21,10 @@ def patterns_for(spark, config: MatchConfig) -> DataFrame:
 def matched(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), columns: dict[str, str] | None = None) -> DataFrame:
     """docs with text, content_form, mentions and targets, row by row (batch, or a stream with a small dictionary);
     columns of these names are replaced."""
-    texts, small = match.best_text(docs, config, columns), match.fits(patterns, config)
-    return annotate.with_targets(match.with_mentions(texts, patterns, config, small=small), patterns, config, small)
+    texts = match.best_text(docs, config, columns)
+    if not match.fits(patterns, config):
+        return match.with_mentions_and_targets(texts, patterns, config)
+    return annotate.with_targets(match.with_mentions(texts, patterns, config, small=True), patterns, config, True)
 
 
 def run(docs: DataFrame, patterns: DataFrame, config: MatchConfig = MatchConfig(), columns: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -128,6 +128,81 @@ def test_large_dictionary_is_joined(spark):
         register(spark, p, c)
 
 
+def rows_made(plan):
+    """(operator, rows that it made) of a plan that ran, stages of adaptive execution included."""
+    kind = plan.getClass().getSimpleName()
+    metric = plan.metrics().get("numOutputRows")
+    yield plan.nodeName(), metric.get().value() if metric.isDefined() else 0
+    if kind == "AdaptiveSparkPlanExec":
+        yield from rows_made(plan.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from rows_made(plan.plan())
+    children = plan.children()
+    for i in range(children.size()):
+        yield from rows_made(children.apply(i))
+
+
+def test_join_makes_rows_of_likely_names_only(spark):
+    """Not one for each character; and a text is searched once for mentions and targets."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(500)) for _ in range(20)]
+    c = MatchConfig(max_broadcast=0)
+    p = names.prepare(names_df(spark, [(f"{a} {b}", f"t{i % 9}") for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]), c).cache()
+    got = matched(docs_df(spark, texts), p, c, {"clean_visible": "text"}).select("doc_id", "mentions", "targets")
+    rows = got.collect()
+    n_found, n_chars = sum(len(r.mentions) for r in rows), sum(map(len, texts))
+    exploded = [n for name, n in rows_made(got._jdf.queryExecution().executedPlan()) if name == "Generate"]
+    assert n_found > 20 and exploded and sum(exploded) < 2 * n_found + n_chars // 200
+    small = matched(docs_df(spark, texts), p, MatchConfig(), {"clean_visible": "text"}).select("doc_id", "mentions", "targets")
+    assert sorted(rows) == sorted(small.collect())
+    p.unpersist()
+
+
+@pytest.mark.parametrize("unpacked", [0, 1 << 20])
+@pytest.mark.parametrize("window", [1, 1 << 17])
+def test_filter_misses_no_name(monkeypatch, unpacked, window):
+    import numpy as np
+
+    from lexispark.functions.normalize import points
+
+    monkeypatch.setattr(match, "UNPACKED", unpacked)
+    monkeypatch.setattr(match, "WINDOW", window)
+    rng = random.Random(window)
+    words = sorted({"".join(rng.choice("ab\U0001d41a ") for _ in range(rng.choice((1, 2, 3, 4, 7, 8, 15, 33, 70)))) for _ in range(40)})
+    texts = ["".join(rng.choice(["a", "b", " ", *words]) for _ in range(rng.randrange(20))) for _ in range(60)]
+    n_bits, bits, sizes = 11, np.zeros(256, np.uint8), {}
+    for w in words:
+        n = match.stem_of(len(w))
+        sizes[n] = sorted({*sizes.get(n, []), len(w)})
+        h = match.stem_hashes(points(w), (n,))[n]
+        for key in (h[:1], match.whole_hashes(h[:1], h[-1:], np.uint32(len(w)))):
+            for probe in match.PROBES:
+                bit = int((key * probe)[0] >> np.uint32(32 - n_bits))
+                bits[bit >> 3] |= 1 << (bit & 7)
+    ends = np.cumsum([len(t) for t in texts])
+    starts, lengths = match.likely(points("".join(texts)), ends, match.table_of(bits), n_bits, sizes)
+    got = set(zip(starts.tolist(), lengths.tolist(), strict=True))
+    want = {(int(end) - len(t) + s, len(w)) for t, end in zip(texts, ends, strict=True) for w in words for s in range(len(t)) if t.startswith(w, s)}
+    assert len(got) == len(starts) and want <= got and len(want) > 500
+    assert all(np.searchsorted(ends, s, "right") == np.searchsorted(ends, s + n - 1, "right") for s, n in got)
+
+
+def test_names_of_several_filters(spark, monkeypatch):
+    """Names that need a filter each, and others that pass by chance in the filters of others."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(2, 12))).strip() for _ in range(300)} - {"", "a", "b", "c"})
+    docs = docs_df(spark, ["".join(rng.choice("abc ") for _ in range(300)) for _ in range(10)] + ["", None])
+    small, big = MatchConfig(min_bytes=2), MatchConfig(min_bytes=2, max_broadcast=0)
+    p = names.prepare(names_df(spark, [(w, "t") for w in words]), small).cache()
+    want = sorted(match.mentions(docs, p, small).collect())
+    monkeypatch.setattr(match, "FILTER_NAMES", 100)
+    monkeypatch.setattr(match, "FILTER_BITS", 1)
+    assert p.count() > 200 and len(want) > 1000 and sorted(match.mentions(docs, p, big).collect()) == want
+    assert match.keep_documents(docs, p, big).count() == 10
+    p.unpersist()
+
+
 def naive(texts, name_targets):
     """(processed, written, mentions, ratings, events) by searching each name at each place."""
     pats = {}
